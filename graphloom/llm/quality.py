@@ -52,8 +52,8 @@ STATS = {
     "doubled": ("n_doubled", "n_words", 40.0, 0.07),
 }
 P = len(STATS)
-#: Squared distance beyond which a row is rejected; the 0.9999 quantile of chi-squared with 8 degrees of freedom is 31.8, and short or mixed texts are a little heavier-tailed than normal.
-CUTOFF = 40.0
+#: Squared distance beyond which a row is rejected; the 0.9999 quantile of chi-squared with 8 degrees of freedom is 31.83.
+CUTOFF = 31.83
 #: Squared distance that the reweighting step keeps: the 0.975 quantile of chi-squared with 8 degrees of freedom.
 KEEP = 17.53
 #: Median of chi-squared with 8 degrees of freedom.
