@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: str | None = None
 
@@ -61,3 +62,14 @@ def without(df: DataFrame, names) -> DataFrame:
     """``df`` less the columns an operator is about to add (any letter case)."""
     low = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
+
+
+def joined_spans(spans: Column, kinds: list[str]) -> Column:
+    """kind:start:end of (start, kind, end) structs, by start, then kind."""
+    name = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["start"], x["end"])), ",")
+
+
+def of_kind(spans: str, k: int) -> Column:
+    """Number of spans of kind ``k``."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")

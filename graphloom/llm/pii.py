@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialise, small_batches, table
+from ._common import joined_spans, materialise, of_kind, small_batches, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -286,14 +286,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return rows.mapInArrow(run, schema).select(*[F.col(f"_c{k}").alias(c) for c, k in at.items()])
 
 
-def joined_spans(spans: F.Column, kinds: list[str]) -> F.Column:
-    """kind:start:end of (start, kind, end) structs, by start, then kind."""
-    name = F.array(*map(F.lit, kinds))
-    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["start"], x["end"])), ",")
-
-
 def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    n = [of_kind("spans", k).alias(f"n_{KINDS[k]}") for k in range(4)]
     term = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
     return found.select("doc_id", *n, F.sha2(joined_spans(F.col("spans"), KINDS), 256).alias("base_sha256"), joined_spans(F.concat("spans", term), KINDS).alias("spans"), F.size("terms").cast("long").alias("n_term"))
