@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, quality, simhash
+from graphloom.llm import bpe, mixing, pii, quality, simhash
 from graphloom.llm._common import materialise, table
 
 
@@ -14,16 +14,26 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group."""
+    """One row of each group of near copies (five words, similarity 0.8)."""
     return simhash.keep_one(docs)
 
 
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked, and terms that disclose it generalised or removed."""
+    return pii.sanitise(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the mix of domains takes."""
+    return mixing.take(docs, table(spark, sf_dir, "labels"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and decoded bytes."""
     return bpe.encode(docs, digests=True)
 
 
-STAGES = [("quality", good), ("near_duplicates", unique), ("encode", encoded)]
+STAGES = [("quality", good), ("near_duplicates", unique), ("pii", sanitised), ("mixing", mixed), ("encode", encoded)]
 
 #: Robust estimates, fingerprint joins and merges are not expressible in SQL.
 ORACLE_SQL = None

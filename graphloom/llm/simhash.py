@@ -13,12 +13,13 @@ whole, in bounded pieces. Exact copies meet as one fingerprint before the join.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +32,20 @@ BITS = 2
 _LAST = (1 << 63) - 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle; of the whole sequence if it is shorter."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space are touched
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     if len(words) < shingle:
-        grams = iter([b" ".join(words)])
-        n = 1
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-        n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=n)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes set."""
+    n = len(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 32_768):
         bits = np.unpackbits(hashes[k : k + 32_768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -49,6 +53,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return _majority(_hashes(text, shingle))
+
+
+def signature(text: str | None, shingle: int, words: int) -> list[int]:
+    """``words`` fingerprints by independent hashes of the distinct shingles: their share of differing bits estimates the angle between shingle sets."""
+    h = np.unique(_hashes(text, shingle))
+    out = []
+    for k in range(words):
+        x = h ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", *, shingle: int = SHINGLE, keep_text: bool = False) -> DataFrame:
     """Every row with its fingerprint as a signed long; the text goes unless kept."""
     small_batches(docs.sparkSession)
@@ -87,16 +107,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, shingle: int = SHINGLE, leaf_rows: int = 200_000) -> DataFrame:
-    """``docs`` less all but one row of each group: the row with the smallest id (null last); of rows that repeat it, one."""
-    row = "_simhash_row"
-    stored = materialise(fingerprints(docs, text_col, "_print", shingle=shingle, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    found = groups(stored.select(row, id_col, "_print"), id_col, "_print", bits=bits, leaf_rows=leaf_rows)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    # rows of one group that share the smallest id: the first written stays
-    chosen = first.groupBy("component_fp").agg(F.min(row).alias(row))
-    chosen = materialise(chosen.select(row), "simhash-kept")
-    return stored.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+#: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, fingerprints in it and their bits, differing bits, words that confirm a pair.
+NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 3, 4
+
+
+def differing_bits(similarity: float, bits: int, slack: float = 1.7) -> int:
+    """Bits in which signatures of two sets of this Jaccard similarity differ, ``slack`` standard deviations over the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * (p + slack * math.sqrt(p * (1 - p) / bits)))
+
+
+def signatures(docs: DataFrame, text_col: str, words: list[str], *, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """Every row, text kept, with its signature in ``words``."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(w, T.LongType()) for w in words]])
+
+    def run(batches):
+        for b in batches:
+            found = np.array([signature(t.as_py(), shingle, len(words)) for t in b.column(b.schema.get_field_index(text_col))], dtype=np.uint64).reshape(-1, len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(words)))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """``docs`` less all but one row of each group of near copies: the row with the smallest id stays (null last; of rows that repeat it, one).
+
+    Rows are near copies if the trie finds them within ``TABLE_BUDGET`` bits in
+    one of ``TABLES`` fingerprints and their signatures differ in no more bits
+    than those of texts with the given Jaccard similarity of word shingles do.
+    """
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    words = [f"_w{k}" for k in range(WORDS)]
+    stored = materialise(signatures(plain, at[text_col], words, shingle=shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.coalesce(F.col(at[id_col]).cast("long"), F.lit(_LAST)).alias("i"), F.col("_row").alias("r"))
+    one = stored.groupBy(*words).agg(F.min(order).alias("_first"), F.min("_row").alias("_id"))
+    one = materialise(one, "simhash-signatures")
+    edges = trie.similar(one, "_id", words, tables=TABLES, bits=TABLE_BITS, budget=TABLE_BUDGET, check=CHECK, within=differing_bits(similarity, 64 * CHECK))
+    roots = trie.components(edges, "simhash-near").select(F.col("v").alias("_id"), "root")
+    group = one.select("_id", "_first").join(roots, "_id", "left").groupBy(F.coalesce("root", "_id").alias("_g")).agg(F.min("_first").alias("_first"))
+    kept = group.select(F.col("_first.r").alias("_row"))
+    gone = materialise(stored.select("_row").join(kept, "_row", "left_anti"), "simhash-gone")
+    return stored.join(gone, "_row", "left_anti").select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,88 +39,109 @@ def _expand(a0, a1, b0, b1):
     return a0[which] + at // nb[which], b0[which] + at % nb[which]
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray | None, budget: int):
-    """Index pairs of sorted distinct uint64 arrays within ``budget`` bits, in chunks; ``right`` None joins ``left`` with itself, each pair once."""
+def close_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, levels: int = 64, exact: int = 0):
+    """Index pairs of sorted uint64 arrays within ``budget`` bits, in chunks; ``right`` None joins ``left`` with itself, each pair once.
+
+    Values differ in their first ``levels`` bits only. The first ``exact`` bits of a pair must be equal.
+    """
     own = right is None
     right = left if own else right
     if not len(left) or not len(right):
         return
-    start = [np.array([x], dtype=np.int64) for x in (0, len(left), 0, len(right), 0)]
-    stack = [(0, start)]
+    if exact and own:
+        head = left >> np.uint64(64 - exact)
+        edge = np.concatenate([[0], np.nonzero(head[1:] != head[:-1])[0] + 1, [len(left)]]).astype(np.int64)
+        start = [edge[:-1], edge[1:], edge[:-1], edge[1:], np.zeros(len(edge) - 1, dtype=np.int64)]
+    else:
+        start = [np.array([x], dtype=np.int64) for x in (0, len(left), 0, len(right), 0)]
+    stack = [(exact if own else 0, start)]
     while stack:
         depth, (a0, a1, b0, b1, bits) = stack.pop()
         if len(a0) > _PAIRS:
             for k in range(0, len(a0), _PAIRS):
                 stack.append((depth, [x[k : k + _PAIRS] for x in (a0, a1, b0, b1, bits)]))
             continue
-        small = ((a1 - a0) * (b1 - b0) <= _SMALL) | (depth == 64)
+        size = (a1 - a0) * (b1 - b0)
+        small = (size <= _SMALL) | (depth == levels)
         if small.any():
-            i, j = _expand(a0[small], a1[small], b0[small], b1[small])
-            hit = np.bitwise_count(left[i] ^ right[j]) <= budget
-            if own:
-                hit &= i < j
-            if hit.any():
-                yield i[hit], j[hit]
+            ranges = [x[small] for x in (a0, a1, b0, b1)]
+            order = np.cumsum(size[small]) // _PAIRS  # equal values make large ranges: expanded in parts
+            for part in np.unique(order):
+                for i, j in _parts(*(x[order == part] for x in ranges)):
+                    hit = np.bitwise_count(left[i] ^ right[j]) <= budget
+                    if own:
+                        hit &= i < j
+                    if hit.any():
+                        yield i[hit], j[hit]
             a0, a1, b0, b1, bits = (x[~small] for x in (a0, a1, b0, b1, bits))
         if not len(a0):
             continue
         low = np.uint64(63 - depth)
-        keep = ~np.uint64(0) if depth == 0 else np.uint64((0xFFFFFFFFFFFFFFFF << (64 - depth)) & 0xFFFFFFFFFFFFFFFF)
-        keep = np.uint64(0) if depth == 0 else keep
+        keep = np.uint64(0 if depth == 0 else (0xFFFFFFFFFFFFFFFF << (64 - depth)) & 0xFFFFFFFFFFFFFFFF)
         one = np.uint64(1) << low
         am = np.searchsorted(left, (left[a0] & keep) | one)
         bm = np.searchsorted(right, (right[b0] & keep) | one)
-        same = (a0 == b0) & (a1 == b1) & own
+        other = ~((a0 == b0) & (a1 == b1) & own)
         parts = [(a0, am, b0, bm, bits), (am, a1, bm, b1, bits), (a0, am, bm, b1, bits + 1)]
-        other = ~same
         parts.append(tuple(x[other] for x in (am, a1, b0, bm, bits + 1)))
         after = [np.concatenate(x) for x in zip(*parts)]
         live = (after[0] < after[1]) & (after[2] < after[3]) & (after[4] <= budget)
         stack.append((depth + 1, [x[live] for x in after]))
 
 
-def forest(home: np.ndarray, visitors: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, smallest fingerprint that it reaches by links within a leaf)."""
-    values = np.concatenate([home, visitors])
-    label = np.argsort(np.argsort(values, kind="stable"), kind="stable")  # rank of each value
-    by_rank = np.sort(values)
-    rank = label.copy()
-
-    def link(u, v):
-        while True:
-            lu, lv = label[u], label[v]
-            differ = lu != lv
-            if not differ.any():
-                return
-            u, v, lu, lv = u[differ], v[differ], lu[differ], lv[differ]
-            low, high = np.minimum(lu, lv), np.maximum(lu, lv)
-            parent = np.arange(len(values))
-            np.minimum.at(parent, high, low)
+def _parts(a0, a1, b0, b1):
+    """Index pairs of ranges; a single pair of large ranges comes in slices."""
+    if len(a0) > 1 or (a1[0] - a0[0]) * (b1[0] - b0[0]) <= _PAIRS:
+        yield _expand(a0, a1, b0, b1)
+        return
+    step = max(1, int(_PAIRS // (b1[0] - b0[0])))
+    for k in range(int(a0[0]), int(a1[0]), step):
+        yield _expand(np.array([k]), np.minimum(np.array([k + step]), a1), b0, b1)
+
+
+class Labels:
+    """Smallest index that each of n items is linked to, directly or not."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.pending, self.size = [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.pending.append((u, v))
+        self.size += len(u)
+        if self.size > 4 * _PAIRS:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.pending:
+            u, v = (np.concatenate(x) for x in zip(*self.pending))
+            self.pending, self.size = [], 0
             while True:
-                up = parent[parent]
-                if (up == parent).all():
+                lu, lv = self.of[u], self.of[v]
+                differ = lu != lv
+                if not differ.any():
                     break
-                parent = up
-            label[:] = parent[label]
-
-    pending, size = [], 0
-    h = len(home)
+                u, v, lu, lv = u[differ], v[differ], lu[differ], lv[differ]
+                parent = np.arange(len(self.of))
+                np.minimum.at(parent, np.maximum(lu, lv), np.minimum(lu, lv))
+                while not ((up := parent[parent]) == parent).all():
+                    parent = up
+                self.of = parent[self.of]
+        return self.of
 
-    def flush():
-        nonlocal pending, size
-        if pending:
-            link(np.concatenate([x for x, _ in pending]), np.concatenate([y for _, y in pending]))
-        pending, size = [], 0
 
-    for pairs, shift in ((close_pairs(home, None, budget), 0), (close_pairs(home, visitors, budget), h)):
-        for i, j in pairs:
-            pending.append((i, j + shift))
-            size += len(i)
-            if size > 4 * _PAIRS:
-                flush()
-    flush()
-    moved = label != rank
-    return values[moved], by_rank[label[moved]]
+def forest(home: np.ndarray, visitors: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, smallest fingerprint that it reaches by links within a leaf)."""
+    values = np.sort(np.concatenate([home, visitors]))
+    at_home, at_visit = np.searchsorted(values, home), np.searchsorted(values, visitors)
+    labels = Labels(len(values))
+    for i, j in close_pairs(home, None, budget):
+        labels.add(at_home[i], at_home[j])
+    for i, j in close_pairs(home, visitors, budget):
+        labels.add(at_home[i], at_visit[j])
+    of = labels.settle()
+    moved = of != np.arange(len(values))
+    return values[moved], values[of[moved]]
 
 
 def leaves(counts: dict[int, int], most: int) -> np.ndarray:
@@ -173,6 +194,56 @@ def links(prints: DataFrame, col: str, budget: int, leaf_rows: int = 200_000, le
     return dealt.groupBy("leaf").applyInPandas(join, "u long, v long")
 
 
+def similar(rows: DataFrame, id_col: str, words: list[str], *, tables: int, bits: int, budget: int, check: int, within: int, group_rows: int = 20_000) -> DataFrame:
+    """Edges (u, v long) between ids of ``rows`` whose long signatures (``words``, 64 bits each) are alike.
+
+    Each of ``tables`` stretches of ``bits`` bits is a fingerprint of its own,
+    joined within ``budget`` bits. Of budget + 1 blocks of a fingerprint one is
+    equal in every such pair, so a row goes to one group for each block, and the
+    trie there starts below the block's value. Pairs that the trie finds are
+    links if the first ``check`` words differ in at most ``within`` bits. A
+    group returns a spanning forest of its links.
+    """
+    n = rows.count()
+    blocks, width = budget + 1, bits // (budget + 1)
+    split = min(width, max(0, int(np.ceil(np.log2(max(1, n / group_rows))))))
+    mask = np.uint64((1 << bits) - 1)
+
+    def deal(frames):
+        for f in frames:
+            w = [f[c].to_numpy(np.int64).view(np.uint64) for c in words]
+            base = {"id": f[id_col].to_numpy(np.int64), **{f"w{k}": w[k].view(np.int64) for k in range(check)}}
+            for t in range(tables):
+                word, shift = divmod(t * bits, 64)
+                key = (w[word] >> np.uint64(shift)) & mask
+                for b in range(blocks):
+                    turn = np.uint64(b * width)
+                    turned = ((key << turn) | (key >> np.uint64(bits - b * width))) & mask if b else key
+                    group = (t * blocks + b << split) + (turned >> np.uint64(bits - split)).astype(np.int64) if split else np.full(len(key), t * blocks + b)
+                    yield pd.DataFrame({"g": group.astype(np.int32), "key": (turned << np.uint64(64 - bits)).view(np.int64), **base})
+
+    def join(f):
+        key = f["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], f["id"].to_numpy(np.int64)[order]
+        sig = [f[f"w{k}"].to_numpy(np.int64).view(np.uint64)[order] for k in range(check)]
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty_like(by_id)
+        rank[by_id] = np.arange(len(ids))
+        labels = Labels(len(ids))
+        for i, j in close_pairs(key, None, budget, bits, width):
+            near = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int32) for s in sig) <= within
+            if near.any():
+                labels.add(rank[i[near]], rank[j[near]])
+        of = labels.settle()
+        moved = np.nonzero(of != np.arange(len(ids)))[0]
+        ids = ids[by_id]
+        return pd.DataFrame({"u": ids[moved], "v": ids[of[moved]]})
+
+    schema = "g int, key long, id long, " + ", ".join(f"w{k} long" for k in range(check))
+    return rows.select(id_col, *words).mapInPandas(deal, schema).groupBy("g").applyInPandas(join, "u long, v long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(v, root) for every vertex of ``edges`` (u, v long); root is the smallest vertex of its component.
 
