@@ -23,7 +23,7 @@ def answers(docs: DataFrame, model: extract.Model, description: str, examples=()
 def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of answers (doc, chunk, answer); answers that cannot be parsed add nothing."""
     use(found.sparkSession)
-    items = extract.unnest(found, "answer", ["doc", "chunk"])
+    items = extract.unnest(found.filter(extract.fault(F.col("answer")).isNull()), "answer", ["doc", "chunk"])
     order = F.struct("doc", "chunk", "extraction_index")
     e = extract.entities(items).select(F.col("text").alias("name"), F.col("class").alias("type"), F.col("attributes").alias("props"), F.lit(None).cast("string").alias("description"), order.alias("ord"))
     r = extract.relations(items, ["doc", "chunk", "extraction_index"]).select("source", "type", "target", order.alias("ord"))
