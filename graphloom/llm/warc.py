@@ -101,14 +101,14 @@ class _Stream(io.RawIOBase):
 
     def readinto(self, b):
         while not self.rest and (self.at < len(self.raw) or self.z.unconsumed_tail):
-            if self.z.eof:  # archives may hold one gzip member a record
-                tail = self.z.unused_data
-                self.at -= len(tail)
-                self.z = zlib.decompressobj(31)
-            part = self.z.unconsumed_tail or self.raw[self.at : self.at + 65_536]
-            if not self.z.unconsumed_tail:
+            part = self.z.unconsumed_tail
+            if not part:
+                part = self.raw[self.at : self.at + 65_536]
                 self.at += len(part)
             self.rest = self.z.decompress(part, 1 << 20)
+            if self.z.eof:  # archives may hold one gzip member a record
+                self.at -= len(self.z.unused_data)
+                self.z = zlib.decompressobj(31)
         n = min(len(b), len(self.rest))
         b[:n], self.rest = self.rest[:n], self.rest[n:]
         return n
