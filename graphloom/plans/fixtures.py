@@ -10,6 +10,11 @@ from ..session import use
 NO_STRINGS = "array<string>"
 
 
+def line_id():
+    """A line item's own number; (order, line) repeats in the tables."""
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,12 +36,12 @@ def tasks(spark, sf):
 
 def files(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("task_id"), F.concat(F.lit("file-"), F.col("l_partkey").cast("string"), F.lit(".md")).alias("filename"))
+    return li.select(line_id().alias("id"), F.col("l_orderkey").alias("task_id"), F.concat(F.lit("file-"), F.col("l_partkey").cast("string"), F.lit(".md")).alias("filename"))
 
 
 GRAPHS = "graphs AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS description, c_nationkey % 2 AS status, CAST(c_custkey % 10 = 0 AS INT) AS del_flag FROM customer)"
 TASKS = "tasks AS (SELECT o_orderkey AS id, o_custkey AS kg_id, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 4 END AS status, CAST(o_orderkey % 10 = 0 AS INT) AS del_flag FROM orders)"
-FILES = "files AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS task_id, 'file-' || l_partkey || '.md' AS filename FROM lineitem)"
+FILES = "files AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_orderkey AS task_id, 'file-' || l_partkey || '.md' AS filename FROM lineitem)"
 
 # extraction rows: entities repeat by name, relations by triple
 
@@ -72,7 +77,7 @@ def relations(spark, sf):
     cn = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("source"), F.lit("located in").alias("type"), F.col("n_name").alias("target"), F.col("c_custkey").cast("long").alias("ord"))
     sn = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.lit("located in").alias("type"), F.col("n_name").alias("target"), F.col("s_suppkey").cast("long").alias("ord"))
     nr = n.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source"), F.lit("part of").alias("type"), F.col("r_name").alias("target"), F.col("n_nationkey").cast("long").alias("ord"))
-    li = t("lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    li = t("lineitem").select("l_partkey", "l_suppkey", line_id().alias("ord"))
     ps = li.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     ps = ps.select(F.col("p_name").alias("source"), F.lit("supplied by").alias("type"), F.col("s_name").alias("target"), "ord")
     bad = t("region").select(F.lit("nobody").alias("source"), F.lit("part of").alias("type"), F.col("r_name").alias("target"), F.col("r_regionkey").cast("long").alias("ord"))
@@ -83,7 +88,7 @@ RELATIONS = """relations AS (
   SELECT c_name AS source, 'located in' AS type, n_name AS target, c_custkey AS ord FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT s_name, 'located in', n_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, 'part of', r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT p_name, 'supplied by', s_name, l_orderkey * 10 + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL SELECT p_name, 'supplied by', s_name, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   UNION ALL SELECT 'nobody', 'part of', r_name, r_regionkey FROM region)"""
 
 # the stored graph: everything under the tag kg, customers once more under task_<segment>
