@@ -48,7 +48,8 @@ def _upsert(existing: DataFrame, incoming: DataFrame, key: list[str], mode: str,
         rest = [c for c in cols if c not in key]
         new = incoming.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
         return existing.unionByName(new.join(existing.select(*key), key, "left_anti").select(*cols))
-    both = existing.withColumn("_o", F.lit(-1).cast("long")).unionByName(incoming.withColumn("_o", F.col(order).cast("long")).select(*cols, "_o"))
+    place = lambda known, o: F.struct(F.lit(known).alias("new"), o.cast(incoming.schema[order].dataType).alias("o"))  # noqa: E731  what exists comes first
+    both = existing.withColumn("_o", place(0, F.lit(None))).unionByName(incoming.withColumn("_o", place(1, F.col(order))).select(*cols, "_o"))
     arrays = [c for c in ("filename", "graph_level") if c in cols]
     scalars = [c for c in cols if c not in key and c not in arrays and c != "props"]
     aggs = [F.max_by(F.struct(*scalars), "_o").alias("_s")] if scalars else []

@@ -252,3 +252,38 @@ def test_highlight():
 def test_places_without_one_big_window(spark):
     got = rows(chunks.with_places(spark.range(100).repartition(7), ["id"], "p"), "id")
     assert got == [(k, k) for k in range(100)]
+
+
+def test_tasks_end_to_end(spark):
+    from graphloom.plans import service
+
+    none_n, none_e = spark.createDataFrame([], S.NODE), spark.createDataFrame([], S.EDGE)
+    docs = spark.createDataFrame([(1, "Ada met Bob. Carl slept."), (2, "Ada met Carl."), (3, "")], "doc_id int, text string")
+    n, e, bad = service.run_task(docs, extract.RuleModel(), "Find names.", none_n, none_e, "t1")
+    assert {r.node_id for r in n.collect()} == {"Name_Ada", "Name_Bob", "Name_Carl"} and bad.count() == 0
+    assert rows(e.select("source_id", "target_id"), "target_id") == [("Name_Ada", "Name_Bob"), ("Name_Ada", "Name_Carl")]
+    _, _, bad = service.run_task(docs, extract.FaultyModel(), "Find names.", none_n, none_e, "t1")
+    assert bad.count() == 2
+    r = service.task_result(n, e, 7, "t1").first()
+    assert (r.id, r.ok, r.entities, r.relations) == (7, True, 3, 2)
+    master = _node(spark, ("kg", "d1", "x", {}, [], 0)).drop("ord").withColumn("node_name", F.lit("annual report"))
+    m_n, m_e = service.merge_matched(n.unionByName(master), e, "t1", "kg", "d1")
+    assert m_n.filter("graph_tag = 'kg'").count() == 4
+    assert m_e.filter(F.col("relation_type") == S.DERIVED_FROM).count() == 3
+    tasks = spark.createDataFrame([(1, "annual reprot.md", 2, 0), (2, "something else.md", 2, 0), (3, "annual report.md", 1, 0)], "id long, name string, status byte, del_flag byte")
+    named = master.withColumn("node_name", F.lit("annual_report"))
+    got = {x.id: (x.node_id, x.error) for x in service.matches(tasks, named, "kg", "x").collect()}
+    assert got == {1: ("d1", None), 2: (None, "no match")}
+    assert [x.status for x in service.merged(tasks, spark.createDataFrame([(1,)], "id long")).orderBy("id").collect()] == [3, 2, 1]
+
+
+def test_ontology_text_and_validation(spark):
+    from graphloom.operators import ontology
+
+    o = {"nodes": [{"id": "1", "label": "City", "attr": [{"label": "nodeId"}, {"label": "size", "type": "INT", "description": "people"}]}], "edges": [{"label": "near", "source": "1", "target": "2"}]}
+    key, t = ontology.template(o)
+    assert len(key) == 8 and t.splitlines() == ["Entity types:", "- City [size (INT): people]", "Relation types:", "- near: City -> "]
+    assert spark.range(1).select(ontology.question(F.lit("x"), o)).first()[0].endswith("Text:\nx")
+    df = spark.createDataFrame([("", 1), ("a.md", None), ("a.md", 0), ("a.xyz", 1), ("a.md", 5)], "path string, size int")
+    assert [r.error_message for r in ontology.checked(df, "path", "size", [".md"]).collect()] == ["no path", "no such file", "the file is empty", "unsupported: .xyz", None]
+    assert ontology.drawn(spark.range(100), 10, "id").count() == 10 and ontology.perturbed("abc", 1) != "abc"
