@@ -58,9 +58,11 @@ def resolve_endpoints(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unresolved(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    names = nodes.select("node_name").distinct()
-    known = relations.join(names.select(F.col("node_name").alias("source")), "source", "left_semi").join(names.select(F.col("node_name").alias("target")), "target", "left_semi")
-    return relations.join(known.select("source", "type", "target").distinct(), ["source", "type", "target"], "left_anti")
+    """Relations of which an end is no node's name."""
+    names = nodes.select("node_name").distinct().withColumn("_known", F.lit(True))
+    side = lambda c: names.select(F.col("node_name").alias(c), F.col("_known").alias(f"_{c}"))
+    out = relations.join(side("source"), "source", "left").join(side("target"), "target", "left")
+    return out.filter(F.col("_source").isNull() | F.col("_target").isNull()).select(*relations.columns)
 
 
 def build_edges(relations: DataFrame, nodes: DataFrame, order: str = "ord") -> DataFrame:
