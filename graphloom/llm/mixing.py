@@ -78,26 +78,38 @@ def _features(words: Column) -> Column:
     return F.array_distinct(F.concat(words, _endings(words), F.array(_variety(words))))
 
 
+def _list(values: list[str], kind: str = "string") -> Column:
+    """A constant array, parsed once when the plan is optimised: a single node, however long it is. No value holds a line break."""
+    return F.split(F.lit("\n".join(values)), "\n").cast(f"array<{kind}>")
+
+
 def _score(found: Column, weights: dict[str, float]) -> Column:
     if not weights:
         return F.lit(0.0)
-    table_ = F.create_map(*[F.lit(x) for k in sorted(weights) for x in (k, float(weights[k]))])
+    keys = sorted(weights)
+    table_ = F.map_from_arrays(_list(keys), _list([repr(weights[k]) for k in keys], "double"))
     return F.aggregate(found, F.lit(0.0), lambda acc, f: acc + F.coalesce(F.element_at(table_, f), F.lit(0.0)))
 
 
 def _found(words: Column, telling: list[str]) -> Column:
     """The telling features that a text holds."""
-    plain = [F.lit(t) for t in telling if not t.startswith(MARK)]
-    ends = [F.lit(t) for t in telling if t.startswith(MARK) and not t.startswith(MARK * 2)]
+    plain = [t for t in telling if not t.startswith(MARK)]
+    ends = [t for t in telling if t.startswith(MARK) and not t.startswith(MARK * 2)]
     none = F.array().cast("array<string>")
-    return F.concat(F.array_intersect(words, F.array(*plain)) if plain else none, F.array_intersect(_endings(words), F.array(*ends)) if ends else none, F.array(_variety(words)))
+    return F.concat(F.array_intersect(words, _list(plain)) if plain else none, F.array_intersect(_endings(words), _list(ends)) if ends else none, F.array(_variety(words)))
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    parts = [F.exp(F.greatest(s - top, F.lit(-700.0))) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _with_posteriors(rows: DataFrame, prior: list[float], scale: Column, power: Column, bias: Column) -> DataFrame:
+    """``rows`` (s1, s2, ..., n) with p0, p1, ...: log-odds are scaled by scale * (100 / n)^power, so that long texts do not always seem certain."""
+    size = len(prior)
+    f = scale * F.pow(100.0 / F.greatest(F.col("n"), F.lit(100)), power)
+    rows = rows.withColumn("_f", f)
+    rows = rows.withColumns({"_z0": F.lit(prior[0]), **{f"_z{k}": F.lit(prior[k]) + bias + F.col(f"s{k}") * F.col("_f") for k in range(1, size)}})
+    rows = rows.withColumn("_top", F.array_max(F.array(*[F.col(f"_z{k}") for k in range(size)])))
+    rows = rows.withColumns({f"_e{k}": F.exp(F.greatest(F.col(f"_z{k}") - F.col("_top"), F.lit(-700.0))) for k in range(size)})
+    rows = rows.withColumn("_sum", sum((F.col(f"_e{k}") for k in range(size)), F.lit(0.0)))
+    rows = rows.withColumns({f"p{k}": F.col(f"_e{k}") / F.col("_sum") for k in range(size)})
+    return rows.drop("_f", "_top", "_sum", *[f"_{c}{k}" for c in "ze" for k in range(size)])
 
 
 def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int):
@@ -130,23 +142,18 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample:
     scored = rows.filter("half = 1").select("domain", F.size("w").alias("n"), _found(F.col("w"), telling).alias("b"))
     scored = scored.select("domain", "n", *[_score(F.col("b"), r).alias(f"s{k}") for k, r in enumerate(ratios, 1)])
     grid = [(c, a, b) for c in SCALES for a in POWERS for b in BIASES]
-    losses = []
-    for trust in grid:
-        p = _posteriors([F.col(f"s{k}") for k in range(1, len(names))], F.col("n"), prior, trust)
-        hit = F.coalesce(*[F.when(F.col("domain") == n, x) for n, x in zip(names, p)])
-        losses.append(F.avg(-F.log(F.greatest(hit, F.lit(1e-6)))))
-    found = scored.agg(*losses).first()
-    best = min(range(len(losses)), key=lambda k: math.inf if found[k] is None else found[k])
+    if not ratios:
+        return names, prior, ratios, (1.0, 0.0, 0.0)
+    scored = materialise(scored, "mix-scores")
+    tried = scored.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+    of = lambda k: F.element_at(_list([str(x[k]) for x in grid], "double"), F.col("g") + 1)
+    tried = _with_posteriors(tried, prior, of(0), of(1), of(2))
+    hit = F.element_at(F.array(*[F.col(f"p{k}") for k in range(len(names))]), F.array_position(_list(names), F.col("domain")).cast("int"))
+    losses = tried.groupBy("g").agg(F.avg(-F.log(F.greatest(hit, F.lit(1e-6)))).alias("l")).collect()  # a row a setting
+    best = min(((r.l, r.g) for r in losses), default=(0.0, 0))[1]
     return names, prior, ratios, grid[best]
 
 
-def _posteriors(scores: list[Column], n: Column, prior: list[float], trust: tuple[float, float, float]) -> list[Column]:
-    """Log-odds are scaled by c * (100 / n)^a, so that long texts do not always seem certain."""
-    c, a, b = trust
-    f = c * F.pow(100.0 / F.greatest(n, F.lit(100)), a)
-    return _softmax([F.lit(prior[0]), *[F.lit(x + b) + s * f for x, s in zip(prior[1:], scores)]])
-
-
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
     """(id, mark, tokens, p0, p1, ...) of every document, and the names of the domains; id and the text's hash ``mark`` key a row."""
     names, prior, ratios, trust = _fit(docs, labels, id_col, text_col, sample)
@@ -157,8 +164,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     telling = sorted({f for r in ratios for f in r})
     rows = rows.select("id", "mark", tokens, _found(F.col("w"), telling).alias("b"))
     rows = rows.select("id", "mark", "tokens", *[_score(F.col("b"), r).alias(f"s{k}") for k, r in enumerate(ratios, 1)])
-    p = _posteriors([F.col(f"s{k}") for k in range(1, len(names))], F.col("tokens"), prior, trust)
-    return rows.select("id", "mark", "tokens", *[x.alias(f"p{k}") for k, x in enumerate(p)]), names
+    c, a, b = map(F.lit, trust)
+    rows = _with_posteriors(rows.withColumn("n", F.col("tokens")), prior, c, a, b)
+    return rows.select("id", "mark", "tokens", *[f"p{k}" for k in range(len(names))]), names
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
@@ -219,19 +227,29 @@ def rates(rows: DataFrame, weights: list[float], *, penalty: float = LAMBDA, ste
     return F.least(F.lit(1.0), rate(y) / (top or 1.0)), g
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+def limited(rows: DataFrame, weights: list[float]) -> list[float]:
+    """Weights that are limits: a domain below its own keeps its share, and the first domain takes the rest."""
+    t = F.col("tokens").cast("double")
+    got = rows.agg(F.sum(t).alias("t"), *[F.sum(t * F.col(f"p{k}")).alias(f"m{k}") for k in range(len(weights))]).first()
+    if not got.t:
+        return weights
+    out = [min(w, got[f"m{k}"] / got.t) for k, w in enumerate(weights)]
+    return [1.0 - sum(out[1:]), *out[1:]]
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, limits: bool = False, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
     """(id, mark, tokens, posteriors, rate, taken) of every document, and the names of the domains."""
     found, names = classify(docs, domains_of(labels, id_col), id_col, text_col, sample=sample)
     rows = materialise(found, "mix-posteriors")
     weights = [targets.get(n, 0.0) for n in names] if names != ["all"] else [1.0]
-    rate, _ = rates(rows, weights)
+    rate, _ = rates(rows, limited(rows, weights) if limits else weights)
     u = F.shiftrightunsigned(F.xxhash64("id", "mark", F.lit("mix")), 11) / F.lit(float(1 << 53))
     return rows.withColumn("rate", rate).withColumn("taken", u < F.col("rate")), names
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the mix takes."""
-    decided, _ = mix(docs, labels, targets, id_col, text_col)
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", *, limits: bool = True) -> DataFrame:
+    """The rows of ``docs`` that the mix takes. The targets are limits unless told otherwise, so that a domain which is rare already does not thin out all others."""
+    decided, _ = mix(docs, labels, targets, id_col, text_col, limits=limits)
     gone = materialise(decided.filter(~F.col("taken")).select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "mix-left-out")
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_mark"]), "left_anti")
 
