@@ -108,7 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, fingerprints in it and their bits, differing bits, words that confirm a pair.
-NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 3, 4
+NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 3, 6
 
 
 def differing_bits(similarity: float, bits: int, slack: float = 1.7) -> int:
