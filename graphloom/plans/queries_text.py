@@ -9,7 +9,7 @@ from ..functions import ids, text
 from ..operators import align, catalog, chunks, extract
 from ..sources import readers
 from . import extraction
-from .fixtures import FILES, GRAPHS, TASKS, files, graphs, table, tasks
+from .fixtures import FILES, GRAPHS, TASKS, files, graphs, spread, table, tasks
 from .registry import query
 
 #: White space as the tokenizer sees it, for SQL engines whose \s is ASCII only.
@@ -124,14 +124,14 @@ def snowflake_parse(spark, sf):
 SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (regexp_full_match(tok, '[0-9]+')) AS n_numbers,
   count(*) FILTER (regexp_full_match(tok, '[A-Za-z0-9]+(/[A-Za-z0-9]+)+')) AS n_acronyms, count(*) FILTER (regexp_full_match(tok, '[A-Za-z]+')) AS n_words FROM t GROUP BY doc_id""")
 def token_types(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
     n = lambda kind: F.size(F.filter("t", lambda x: text.token_type(x) == kind)).cast("long")
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), n("NUMBER").alias("n_numbers"), n("ACRONYM").alias("n_acronyms"), n("WORD").alias("n_words"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]*[\\n\\r][{WS}]*')) AS n_after_newline FROM documents")
 def token_newline_flags(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", chunks.token_spans("text").alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", chunks.token_spans("text").alias("t"))
     return d.select("doc_id", F.size(F.filter("t", lambda x: x["nl"])).cast("long").alias("n_after_newline"))
 
 
@@ -151,18 +151,18 @@ def sentence_count(spark, sf):
 
         return pd.Series([len(chunks.sentence_ends(t, chunks.spans(t))) for t in x])
 
-    return table(spark, sf, "documents").select("doc_id", n("text").alias("n_sentences"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", n("text").alias("n_sentences"))
 
 
 @query()
 def sentence_chunks(spark, sf):
-    c = chunks.sentence_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text", 1000)
+    c = chunks.sentence_chunks(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", 1000)
     return c.select("doc_id", "chunk_id", "tok_start", "tok_end", "char_start", "char_end", F.md5("text").alias("digest"))
 
 
 @query()
 def paragraph_chunks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks.paragraph_chunks(F.col("text"), 5000, 500, "\n")).alias("chunk_id", "chunk"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunks.paragraph_chunks(F.col("text"), 5000, 500, "\n")).alias("chunk_id", "chunk"))
     return d.select("doc_id", "chunk_id", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
@@ -315,7 +315,7 @@ def extraction_summary(spark, sf):
 
 @query()
 def align_extractions(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id is not null").select("doc_id", F.col("text"))
+    d = spread(table(spark, sf, "documents").filter("doc_id is not null").select("doc_id", "text"))
     words = F.filter(F.split("text", r"[ \n]"), lambda w: F.length(w) > 6)
     d = d.withColumn("wanted", F.slice(F.concat(words, F.array(F.lit("absent phrase"))), 1, 3))
     a = align.align(d, "text", "wanted", fuzzy=False).select("doc_id", F.explode("aligned").alias("a"))
