@@ -39,10 +39,10 @@ def crossdoc_node_merge(spark, sf):
     return merge.merge_nodes_across(rows).select("node_id", "description", F.array_join("filename", ",").alias("files"), F.col("props")["brand"].alias("brand"))
 
 
-@query("SELECT l_partkey AS source_id, l_suppkey AS target_id, 'supplied by' AS relation_type, arg_max(l_quantity, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) AS weight, arg_max(l_returnflag, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) AS flag FROM lineitem GROUP BY ALL")
+@query("SELECT l_partkey AS source_id, l_suppkey AS target_id, 'supplied by' AS relation_type, arg_max(l_quantity, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey, l_quantity, l_returnflag)) AS weight, arg_max(l_returnflag, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey, l_quantity, l_returnflag)) AS flag FROM lineitem GROUP BY ALL")
 def crossdoc_edge_merge(spark, sf):
     li = table(spark, sf, "lineitem")
-    rows = li.select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.lit("supplied by").alias("relation_type"), F.col("l_quantity").alias("weight"), F.lit(False).alias("bidirectional"), F.create_map(F.lit("flag"), "l_returnflag").alias("props"), line_id().alias("ord"))
+    rows = li.select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.lit("supplied by").alias("relation_type"), F.col("l_quantity").alias("weight"), F.lit(False).alias("bidirectional"), F.create_map(F.lit("flag"), "l_returnflag").alias("props"), F.struct(line_id().alias("line"), "l_quantity", "l_returnflag").alias("ord"))
     return merge.merge_edges_across(rows).select("source_id", "target_id", "relation_type", "weight", F.col("props")["flag"].alias("flag"))
 
 
