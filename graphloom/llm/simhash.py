@@ -107,12 +107,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, fingerprints in it and their bits, differing bits, words that confirm a pair.
-NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 3, 6
+#: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, fingerprints in it and their bits, differing bits, words that admit a candidate.
+NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 4, 6
 
 
-def differing_bits(similarity: float, bits: int, slack: float = 1.7) -> int:
-    """Bits in which signatures of two sets of this Jaccard similarity differ, ``slack`` standard deviations over the mean."""
+def differing_bits(similarity: float, bits: int, slack: float = 5.4) -> int:
+    """Bits in which signatures of two sets of this Jaccard similarity differ at most, ``slack`` standard deviations over the mean."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * (p + slack * math.sqrt(p * (1 - p) / bits)))
 
@@ -130,12 +130,81 @@ def signatures(docs: DataFrame, text_col: str, words: list[str], *, shingle: int
     return docs.mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, text_col: str, out_col: str, *, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """Every row with the distinct hashes of its text's shingles (binary, 8 bytes each) in place of the text."""
+    small_batches(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    schema = T.StructType([*kept, T.StructField(out_col, T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(_hashes(t.as_py(), shingle)).tobytes() for t in b.column(b.schema.get_field_index(text_col))]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(found, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first one that it reaches over pairs whose Jaccard similarity is at least ``similarity``.
+
+    A set that is reached is compared with those that are not reached yet, so
+    copies of one text cost one comparison each.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    root = np.where(size > 0, -1, np.arange(n))
+    rest = np.nonzero(size)[0]
+    if not len(rest):
+        return root
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(size)
+    mark = np.zeros(int(codes.max()) + 1, dtype=bool)
+    flat, starts = codes, (ends - size)[rest]
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first], queue = first, [first]
+        while queue:
+            d = queue.pop()
+            open_ = root[rest] < 0
+            if not open_.any():
+                return root
+            if 2 * open_.sum() < len(rest):
+                flat = flat[np.repeat(open_, size[rest])]
+                rest = rest[open_]
+                starts = np.cumsum(size[rest]) - size[rest]
+                open_ = np.ones(len(rest), dtype=bool)
+            own = codes[ends[d] - size[d] : ends[d]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            new = rest[open_ & (both >= similarity * (size[d] + size[rest] - both) - 1e-9)]
+            root[new] = first
+            queue += new.tolist()
+    return root
+
+
+def confirmed(sets: DataFrame, id_col: str, root_col: str, set_col: str, similarity: float) -> DataFrame:
+    """(v, root) of every row: the smallest id that it reaches, within its group of candidates, over pairs of at least this Jaccard similarity."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column(id_col).to_numpy()
+        order = np.argsort(ids)
+        found = t.column(set_col).to_pylist()
+        root = alike([np.frombuffer(found[k], dtype=np.uint64) for k in order], similarity)
+        ids = ids[order]
+        return pa.table({"v": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
+
+    return sets.groupBy(root_col).applyInArrow(run, "v long, root long")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """``docs`` less all but one row of each group of near copies: the row with the smallest id stays (null last; of rows that repeat it, one).
 
-    Rows are near copies if the trie finds them within ``TABLE_BUDGET`` bits in
-    one of ``TABLES`` fingerprints and their signatures differ in no more bits
-    than those of texts with the given Jaccard similarity of word shingles do.
+    Rows are near copies if the sets of their word shingles (as 64-bit hashes)
+    have the given Jaccard similarity. The trie proposes candidates: rows within
+    ``TABLE_BUDGET`` bits in one of ``TABLES`` fingerprints. Groups are what such
+    rows connect, and inside a group the sets themselves are compared.
     """
     names = [f"_c{k}" for k in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
@@ -146,7 +215,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     one = stored.groupBy(*words).agg(F.min(order).alias("_first"), F.min("_row").alias("_id"))
     one = materialise(one, "simhash-signatures")
     edges = trie.similar(one, "_id", words, tables=TABLES, bits=TABLE_BITS, budget=TABLE_BUDGET, check=CHECK, within=differing_bits(similarity, 64 * CHECK))
-    roots = trie.components(edges, "simhash-near").select(F.col("v").alias("_id"), "root")
+    loose = trie.components(edges, "simhash-near").select("v", F.col("root").alias("_near"))
+    members = stored.join(loose, stored["_row"] == loose["v"]).select("_row", "_near", F.col(at[text_col]).alias("_text"))
+    exact = confirmed(shingle_sets(members, "_text", "_set", shingle=shingle), "_row", "_near", "_set", similarity)
+    roots = materialise(exact, "simhash-exact").select(F.col("v").alias("_id"), "root")
     group = one.select("_id", "_first").join(roots, "_id", "left").groupBy(F.coalesce("root", "_id").alias("_g")).agg(F.min("_first").alias("_first"))
     kept = group.select(F.col("_first.r").alias("_row"))
     gone = materialise(stored.select("_row").join(kept, "_row", "left_anti"), "simhash-gone")

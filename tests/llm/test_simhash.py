@@ -111,3 +111,51 @@ def test_repeated_rows_nulls_and_empty_tables(spark, make_docs):
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.keep_one(nulls).count() == 3
     assert {r.component_id for r in simhash.near_duplicates(nulls).collect()} == {None}
+
+
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_links_are_exact(spark, make_docs):
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    base = [[word() for _ in range(200)] for _ in range(60)]
+    changed = {n: [w[:-n] + [word() for _ in range(n)] for w in base] for n in (21, 22, 28, 35)}  # similarity 0.806, 0.798, 0.75, 0.70
+    texts = [" ".join(w) for ws in [base, *changed.values()] for w in ws]
+    sets = [_shingles(t) for t in texts]
+    gone = set()
+    for k in range(60):  # the members of a family meet nobody else
+        family = range(k, len(texts), 60)
+        near = {(a, b) for a in family for b in family if a < b and _jaccard(sets[a], sets[b]) >= 0.8}
+        assert near == {(k, 60 + k)}
+        gone |= {b for _, b in near}
+    kept = {r.doc_id for r in simhash.keep_one(make_docs(texts)).collect()}
+    assert kept == set(range(len(texts))) - gone
+
+
+def test_alike_matches_all_pairs():
+    rng = np.random.default_rng(12)
+    sets = [np.zeros(0, dtype=np.uint64)]
+    for _ in range(25):  # chains: each set is a small change of an earlier one
+        s = set(rng.integers(0, 1 << 60, 30).tolist())
+        for _ in range(int(rng.integers(1, 9))):
+            sets.append(np.array(sorted(s), dtype=np.uint64))
+            for x in rng.choice(sorted(s), int(rng.integers(1, 6)), replace=False).tolist():
+                s.remove(x)
+                s.add(int(rng.integers(0, 1 << 60)))
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    want = list(range(len(sets)))
+    plain = [set(s.tolist()) for s in sets]
+    for _ in sets:  # minima spread until nothing moves
+        for a in range(len(sets)):
+            for b in range(a):
+                if plain[a] and plain[b] and _jaccard(plain[a], plain[b]) >= 0.8:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert simhash.alike(sets, 0.8).tolist() == want and len(set(want)) > 30
+    assert simhash.alike([], 0.8).tolist() == []
