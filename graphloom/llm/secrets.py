@@ -9,8 +9,11 @@ the encoding (hexadecimal, base 32, letters, decimal, base 64) and asks
 * whether neighbouring values are uncorrelated (lag-1 serial correlation).
 
 A string that fails one of the three is not random. For one that passes, the
-p-value is the chance that natural text of that length, words and identifiers,
-changes character class so often and, in base 64, repeats letters so rarely.
+p-value is the chance that natural text of its encoding and length holds so
+many rare letters (letters, base 32, base 64), changes character class so often
+(hexadecimal; with rare letters in base 32 and base 64), repeats letters so
+rarely (base 64), or has so few equal or neighbouring digits in a row (decimal).
+Where several of these are asked, the least p-value counts times their number.
 Benjamini-Hochberg control, separately for each band of lengths (short strings
 carry little evidence, and there are many of them), bounds the share of false
 discoveries at ``RATE`` over all candidates of the corpus. A discovery adds a
@@ -34,13 +37,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the run's first AKIA is the longest match, so a length of 20 can be part of the pattern
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_DIGITS = 2
 #: False-discovery rate, and the normal deviate beyond which a test of the battery fails.
 RATE = 0.01
 FAIL = 3.3
-#: Natural text: changes of character class a step, and chance that two letters are equal.
+#: Natural text: changes of character class a step, chance that two letters are equal, share of rare letters, share of steps to the same or a neighbouring digit.
 CHANGES = 0.15
 COINCIDENCE = 0.065
+RARE, RARE_LETTERS = 0.15, "bfgjkpqvwxyz"
+STEPS = 0.5
 BANDS = (32, 64)
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding: (pattern of the whole string, alphabet)
@@ -104,14 +108,23 @@ def _battery(s: Column) -> Column:
         power = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c * c)
         lag = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(t)), lambda c, d: c * F.coalesce(d, F.lit(0.0))), F.lit(0.0), lambda acc, c: acc + c)
         z_lag = ((n * lag - total * total) / F.greatest(n * power - total * total, F.lit(1e-9)) + 1 / (n - 1)) * F.sqrt(n)
-        ok = (z_chi < FAIL) & (F.abs(z_runs) < FAIL) & (F.abs(z_lag) < FAIL) & ~x["encoding"].isin("decimal", "letters")
+        ok = (z_chi < FAIL) & (F.abs(z_runs) < FAIL) & (F.abs(z_lag) < FAIL)
         changes = F.size(F.regexp_extract_all(x["core"], F.lit("(?<=[a-z])(?=[A-Z])|(?<=[0-9])(?=[A-Za-z+/])|(?<=[A-Za-z+/])(?=[0-9])"), F.lit(0)))
         z_changes = (changes - 0.5 - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
         equal = (squares - n) / (n * (n - 1))
         z_equal = (COINCIDENCE - equal) / (1.5 * F.sqrt(2 * COINCIDENCE * (1 - COINCIDENCE) / (n * (n - 1))))
-        z = F.when(x["encoding"] == "base64", (z_changes + z_equal) / 2**0.5).otherwise(z_changes)
-        digits = F.length(F.regexp_replace(x["core"], "[^0-9]", ""))
-        return F.struct(x["encoding"].alias("encoding"), (ok & (digits >= LEAST_DIGITS)).alias("ok"), _normal_tail(F.least(z, F.lit(15.0))).alias("p"))
+        letters = F.length(F.regexp_replace(x["core"], "[^A-Za-z]", ""))
+        rare = F.length(F.regexp_replace(x["core"], f"[^{RARE_LETTERS}{RARE_LETTERS.upper()}]", ""))
+        z_rare = (rare - 0.5 - letters * RARE) / F.sqrt(F.greatest(letters, F.lit(1)) * RARE * (1 - RARE))
+        near = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(t)), lambda c, d: (F.abs(c - d) <= 1).cast("int")), F.lit(0), lambda acc, c: acc + F.coalesce(c, F.lit(0)))
+        z_steps = ((n - 1) * STEPS - near - 0.5) / F.sqrt((n - 1) * STEPS * (1 - STEPS))
+        both = (z_changes + z_rare) / 2**0.5
+        asked = {"letters": [z_rare], "decimal": [z_steps], "hex": [z_changes], "base32": [z_rare, both]}
+        tail = lambda zs: F.least(len(zs) * _normal_tail(F.least(F.greatest(*zs) if len(zs) > 1 else zs[0], F.lit(15.0))), F.lit(1.0))
+        p = tail([z_rare, both, (z_changes + z_equal) / 2**0.5])
+        for name, zs in asked.items():
+            p = F.when(x["encoding"] == name, tail(zs)).otherwise(p)
+        return F.struct(x["encoding"].alias("encoding"), ok.alias("ok"), p.alias("p"))
 
     one = F.array(F.struct(flat.alias("t"), core.alias("core"), alphabet.alias("alpha"), encoding.alias("encoding")))
     fit = F.length(core) >= 16  # a string of little but separators has no battery

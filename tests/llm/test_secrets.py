@@ -46,3 +46,25 @@ def test_edges(spark, make_docs):
     assert [tuple(s) for s in r.spans] == brute(long.first().text)
     twice = make_docs(["token = abcdef123456"] * 3, ids=[1, 1, None])
     assert [len(r.spans) for r in secrets.find(twice).collect()] == [1, 1, 1]
+
+
+def test_every_encoding_can_be_found(spark, make_docs):
+    rng = random.Random(9)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    make = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    kinds = [
+        [make(upper + upper.lower(), 40) for _ in range(40)],
+        [make(upper.lower(), 36) for _ in range(40)],
+        [make(upper, 36) for _ in range(40)],
+        [make(upper + upper.lower() + "+/", 24) + "A" for _ in range(40)],  # base 64 without a digit
+        [make(upper + "234567", 28) for _ in range(40)],
+    ]
+    natural = ["internationalisationsgesellschaft", "Donaudampfschifffahrtsgesellschaft", "counterrevolutionaries", "INTERNATIONALIZATIONS", "anticonstitutionnellement", "electroencefalografistas", "thisIsTheNameOfSomeLongMethod", "20240501123045000012", "11112222333344445555", "10000000000000000000000000"]
+    rows = secrets.find(make_docs([f"see {t} here" for k in kinds for t in k] + [f"see {t} here" for t in natural * 5])).collect()
+    hit = {r.doc_id for r in rows if len(r.added)}
+    found = [sum(k in hit for k in range(40 * i, 40 * i + 40)) for i in range(len(kinds))]
+    assert all(n >= 30 for n in found), found
+    assert not any(k in hit for k in range(200, len(rows)))
+    judged = [r.candidates[0].b for r in secrets.scan(make_docs([make(digits, 80) for _ in range(40)] + ["20240501123045000012" * 4])).collect()]
+    assert all(b.encoding == "decimal" for b in judged)  # a pattern span covers longer ones, so the verdict itself is looked at
+    assert sum(b.ok and b.p < 0.01 for b in judged[:40]) >= 30 and not (judged[40].ok and judged[40].p < 0.01)
