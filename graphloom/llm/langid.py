@@ -12,7 +12,10 @@ parse covers whole texts, in blocks of ``BLOCK`` symbols that run side by side
 as lanes of one vector; a phrase ends with its block, for all languages alike.
 
 Letters are compared in lower case, and a run of other characters is one
-separator. A null text, or one without a letter, is ``und`` with score 0, as
+separator. Every language has codes for all letters of its own training text;
+a letter that it lacks ends a phrase, whatever other languages know. Languages
+of few letters have dense transitions, those of over ``WIDE`` letters sparse
+ones. A null text, or one without a letter, is ``und`` with score 0, as
 is every text if nothing can be learned. Ties go to the smaller language name.
 The score, h2 / (h1 + h2) of the two best, is 0.5 for a tie and 1 if only one
 language was learned. A null id counts as the empty text in the hold-out rule.
@@ -33,7 +36,7 @@ from ._common import small_batches, table, without
 CHARS = 49_152
 TOTAL_CHARS = 1 << 20
 DOCS = 400  # texts of a language that are considered at most
-LETTERS = 60
+WIDE = 128  # letters from which a language has sparse transitions
 BLOCK = 512
 LANES = 16_384
 UNKNOWN = "und"
@@ -73,38 +76,78 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
     return go[:used]
 
 
+def sparse_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The same automaton with a dict of transitions for each state."""
+    go: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for c in codes:
+        new = len(go)
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and c not in go[p]:
+            go[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = go[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                twin = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    return go
+
+
 class Model:
-    """Automata of all languages in one table, ready for parsing."""
+    """Automata of all languages, ready for parsing: the dense ones in one table, each sparse one as sorted keys."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        seen: dict[str, int] = {}
-        for texts in samples.values():
-            for t in texts:
-                for c in t.lower():
-                    if c.isalpha():
-                        seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        self.code = np.fromiter((_OTHER if chr(k).isalpha() else _SEPARATOR for k in range(0x110000)), dtype=np.uint8, count=0x110000)
+        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        self.pad = 2 + len(letters)
+        self.code = np.fromiter((_OTHER if chr(k).isalpha() else _SEPARATOR for k in range(0x110000)), dtype=np.min_scalar_type(self.pad), count=0x110000)
         for k, c in enumerate(letters):
             self.code[ord(c)] = 2 + k
-        self.pad = 2 + len(letters)
-        width = self.pad + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for name in self.names:
-            codes = np.concatenate([np.append(self.encode(t), _SEPARATOR) for t in samples[name]])
-            codes = codes[codes != _OTHER]
-            go = suffix_automaton(codes.tolist(), width)
-            state = (np.arange(len(go), dtype=np.int32) + base) * width
-            to = np.where(go >= 0, (go + base) * width, 0).astype(np.int32)
-            fresh = np.where(go[0] >= 0, to[0], base * width)  # a new phrase starts with the symbol that did not fit
+        self.bits = np.zeros(len(self.names))
+        self.dense, self.sparse = [], []  # positions of languages; (position, letters, width, keys, states, first states)
+        tables, self.roots, own, base = [], [], [], 0
+        for at, name in enumerate(self.names):
+            codes = np.concatenate([np.append(self.encode(t), _SEPARATOR) for t in samples[name]]).astype(np.int64)
+            self.bits[at] = np.log2(max(2, len(codes)))
+            known = np.unique(codes)
+            miss = len(known)  # columns: known symbols, one for all others, padding
+            width = miss + 2
+            local = np.full(self.pad + 1, miss, dtype=np.int32)
+            local[known] = np.arange(miss)
+            local[self.pad] = miss + 1
+            if miss > WIDE:
+                go = sparse_automaton(local[codes].tolist())
+                edges = np.array(sorted((k * width + c, v) for k, d in enumerate(go) for c, v in d.items()), dtype=np.int64)
+                fresh = np.array([go[0].get(c, 0) for c in range(width)], dtype=np.int64)
+                self.sparse.append((at, local, width, edges[:, 0].copy(), edges[:, 1].copy(), fresh))
+                continue
+            go = suffix_automaton(local[codes].tolist(), width)
+            state = np.arange(len(go), dtype=np.int32) * width + base
+            to = np.where(go >= 0, go * width + base, 0).astype(np.int32)
+            fresh = np.where(go[0] >= 0, to[0], base)  # a new phrase starts with the symbol that did not fit
             to = np.where(go >= 0, to, ~fresh).astype(np.int32)
-            to[:, self.pad] = state
-            tables.append(to)
-            self.roots.append(base * width)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += len(go)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            to[:, miss + 1] = state
+            tables.append(to.ravel())
+            self.dense.append(at)
+            self.roots.append(base)
+            own.append(local)
+            base += to.size
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.local = np.array(own, dtype=np.int32).reshape(len(own), self.pad + 1)
 
     def encode(self, text: str) -> np.ndarray:
         codes = self.code[np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)]
@@ -117,23 +160,37 @@ class Model:
         blocks = [-(-len(t) // BLOCK) for t in texts]
         out = np.zeros((len(texts), len(self.names)), dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        flat = np.full((len(owner), BLOCK), self.pad, dtype=np.uint8)
+        flat = np.full((len(owner), BLOCK), self.pad, dtype=self.code.dtype)
         at = 0
         for t, n in zip(texts, blocks):
             flat[at : at + n].reshape(-1)[: len(t)] = t
             at += n
         roots = np.array(self.roots, dtype=np.int32)[:, None]
         for k in range(0, len(owner), LANES):
-            lanes = np.ascontiguousarray(flat[k : k + LANES].T).astype(np.int32)
-            state = np.repeat(roots, lanes.shape[1], axis=1)
-            count = np.zeros_like(state)
-            for symbols in lanes:
-                state = self.table[state + symbols]
-                miss = state >> 31
-                state ^= miss
-                count -= miss
-            count += state != roots
-            np.add.at(out, owner[k : k + LANES], count.T)
+            lanes = np.ascontiguousarray(flat[k : k + LANES].T)
+            whose = owner[k : k + LANES]
+            if self.dense:
+                state = np.repeat(roots, lanes.shape[1], axis=1)
+                count = np.zeros_like(state)
+                for symbols in lanes:
+                    state = self.table[state + self.local[:, symbols]]
+                    miss = state >> 31
+                    state ^= miss
+                    count -= miss
+                count += state != roots
+                for at, n in zip(self.dense, count):
+                    np.add.at(out[:, at], whose, n)
+            for at, local, width, keys, to, fresh in self.sparse:
+                state = np.zeros(lanes.shape[1], dtype=np.int64)
+                n = np.zeros_like(state)
+                for symbols in lanes:
+                    c = local[symbols]
+                    key = state * width + c
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    fits, there = keys[place] == key, c != width - 1
+                    state = np.where(fits, to[place], np.where(there, fresh[c], state))
+                    n += ~fits & there
+                np.add.at(out[:, at], whose, n + (state != 0))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

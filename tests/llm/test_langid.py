@@ -76,3 +76,21 @@ def test_edges(spark, make_docs):
     assert sum(map(len, long["en"])) == 1000
     copies = langid.sample(make_docs(["abc def ghi"] * 500))
     assert copies == {"en": ["abc def ghi"]}
+
+
+def test_all_scripts_are_told_apart(monkeypatch):
+    rng = random.Random(8)
+    starts = {"aa": (0x61, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "uk": (0x430, 32), "he": (0x5D0, 26), "ka": (0x10D0, 33), "th": (0xE01, 46), "zh": (0x4E00, 400), "yi": (0x4E80, 400)}
+    words = {n: ["".join(chr(a + rng.randrange(size)) for _ in range(rng.randint(2, 5))) for _ in range(150)] for n, (a, size) in starts.items()}
+    text = lambda n, k: " ".join(rng.choice(words[n]) for _ in range(k))
+    samples = {n: [text(n, 1500 if n == "aa" else 500)] for n in starts}
+    held = [(n, text(n, 30)) for n in starts for _ in range(10)]
+    m = langid.Model(samples)
+    assert [x for x, _ in m.predict([t for _, t in held])] == [n for n, _ in held]
+    assert len(m.sparse) == 2
+    counts = m.phrases([m.encode(t) for _, t in held])
+    for name in ("el", "zh"):  # what a language makes of a text does not depend on the others
+        alone = langid.Model({name: samples[name]})
+        assert (alone.phrases([alone.encode(t) for _, t in held])[:, 0] == counts[:, m.names.index(name)]).all()
+    monkeypatch.setattr(langid, "WIDE", 0)  # sparse and dense transitions agree
+    assert (langid.Model(samples).phrases([m.encode(t) for _, t in held]) == counts).all()
