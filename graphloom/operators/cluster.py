@@ -27,18 +27,21 @@ def best_match(targets: DataFrame, candidates: DataFrame, threshold: float = 0.9
 
     Only candidates of a length that can reach the threshold are compared: the
     join runs on lengths, as an equality, over the lengths that a target allows,
-    and the edit distance, an exact bound, leaves few pairs to Python.
+    and the edit distance, an exact bound, leaves fewer pairs to Python. A target
+    that is a candidate itself is its own best match and meets no other.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     span = F.sequence(F.floor(F.length("target") * low).cast("int"), F.ceil(F.length("target") * high).cast("int"))
-    t = targets.select("target").distinct().withColumn("_n", F.explode(span))
+    every = targets.select("target").distinct()
+    same = every.join(candidates.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select("target", F.col("target").alias("name"), F.lit(1.0).alias("score"))
+    t = every.join(candidates.select(F.col("name").alias("target")).distinct(), "target", "left_anti").withColumn("_n", F.explode(span))
     c = candidates.groupBy("name").agg(F.min("ord").alias("ord")).withColumn("_n", F.length("name"))
     near = t.join(c, "_n").filter(length_bound(F.col("target"), F.col("name")) >= threshold)
     # matching blocks leave (1 - ratio) of the characters unmatched, and these edits turn one name into the other
     near = near.filter(F.levenshtein("target", "name") <= (1 - threshold) * (F.length("target") + F.length("name")) + 1e-9)
     near = near.repartition(F.xxhash64("target", "name"))  # names of one length may be most of them
-    scored = near.withColumn("score", F.when(F.col("target") == F.col("name"), 1.0).otherwise(ratio_udf("target", "name"))).filter(F.col("score") >= threshold)
-    return scored.groupBy("target").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("target", "b.*")
+    scored = near.withColumn("score", ratio_udf("target", "name")).filter(F.col("score") >= threshold)
+    return scored.groupBy("target").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("target", "b.*").unionByName(same)
 
 
 def disambiguator(type_: Column, props: Column) -> Column:

@@ -212,7 +212,7 @@ def _typos(spark, sf):
 
 @query()
 def fuzzy_best_match(spark, sf):
-    t = _typos(spark, sf).filter("c_custkey <= 60")
+    t = _typos(spark, sf)
     names = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"))
     m = cluster.best_match(t, names)
     return t.join(m, "target").select("c_custkey", "target", "name", F.round("score", 6).alias("score"))
