@@ -107,13 +107,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, fingerprints in it and their bits, differing bits, words that admit a candidate.
-NEAR_SHINGLE, SIMILARITY, WORDS, TABLES, TABLE_BITS, TABLE_BUDGET, CHECK = 5, 0.8, 6, 12, 32, 4, 6
+#: Near copies of whole texts: word shingles, least Jaccard similarity, words of a signature, words that admit a candidate, share of pairs of exactly that similarity that the tries may overlook.
+NEAR_SHINGLE, SIMILARITY, WORDS, CHECK, MISS = 5, 0.8, 6, 3, 0.001
+#: Rows of candidates that meet in one task.
+MEET = 20_000
+
+
+def differing_share(similarity: float) -> float:
+    """Chance that a bit differs between the signatures of two sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 def differing_bits(similarity: float, bits: int, slack: float = 5.4) -> int:
     """Bits in which signatures of two sets of this Jaccard similarity differ at most, ``slack`` standard deviations over the mean."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = differing_share(similarity)
     return int(bits * (p + slack * math.sqrt(p * (1 - p) / bits)))
 
 
@@ -184,27 +191,36 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
+def in_parts(members: DataFrame, id_col: str, root_col: str, most: int = MEET) -> DataFrame:
+    """``members`` with ``_pair``: a group over ``most`` rows is cut into parts, and a row is repeated for every two parts of which one is its own."""
+    size = members.groupBy(root_col).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    rows = members.join(size, root_col).withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return rows.withColumn("_pair", F.struct(F.least("_part", "_other").alias("a"), F.greatest("_part", "_other").alias("b"))).drop("_parts", "_part", "_other")
+
+
 def confirmed(sets: DataFrame, id_col: str, root_col: str, set_col: str, similarity: float) -> DataFrame:
-    """(v, root) of every row: the smallest id that it reaches, within its group of candidates, over pairs of at least this Jaccard similarity."""
+    """Edges (u, v) that connect the rows of each group of candidates (``root_col``, ``_pair``) as all pairs of at least this Jaccard similarity do."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column(id_col).to_numpy()
         order = np.argsort(ids)
         found = t.column(set_col).to_pylist()
         root = alike([np.frombuffer(found[k], dtype=np.uint64) for k in order], similarity)
-        ids = ids[order]
-        return pa.table({"v": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
+        ids, moved = ids[order], np.nonzero(root != np.arange(len(root)))[0]
+        return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[root[moved]], pa.int64())})
 
-    return sets.groupBy(root_col).applyInArrow(run, "v long, root long")
+    return sets.groupBy(root_col, "_pair").applyInArrow(run, "u long, v long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, miss: float = MISS, meet: int = MEET) -> DataFrame:
     """``docs`` less all but one row of each group of near copies: the row with the smallest id stays (null last; of rows that repeat it, one).
 
     Rows are near copies if the sets of their word shingles (as 64-bit hashes)
-    have the given Jaccard similarity. The trie proposes candidates: rows within
-    ``TABLE_BUDGET`` bits in one of ``TABLES`` fingerprints. Groups are what such
-    rows connect, and inside a group the sets themselves are compared.
+    have the given Jaccard similarity. Tries over fingerprints that are drawn
+    from a longer signature propose candidates. Groups are what such rows
+    connect, and inside a group the sets themselves are compared; a group over
+    ``meet`` rows is compared part by part.
     """
     names = [f"_c{k}" for k in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
@@ -214,11 +230,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     order = F.struct(F.coalesce(F.col(at[id_col]).cast("long"), F.lit(_LAST)).alias("i"), F.col("_row").alias("r"))
     one = stored.groupBy(*words).agg(F.min(order).alias("_first"), F.min("_row").alias("_id"))
     one = materialise(one, "simhash-signatures")
-    edges = trie.similar(one, "_id", words, tables=TABLES, bits=TABLE_BITS, budget=TABLE_BUDGET, check=CHECK, within=differing_bits(similarity, 64 * CHECK))
+    edges = trie.similar(one, "_id", words, p=differing_share(similarity), miss=miss, check=CHECK, within=differing_bits(similarity, 64 * CHECK))
     loose = trie.components(edges, "simhash-near").select("v", F.col("root").alias("_near"))
-    members = stored.join(loose, stored["_row"] == loose["v"]).select("_row", "_near", F.col(at[text_col]).alias("_text"))
-    exact = confirmed(shingle_sets(members, "_text", "_set", shingle=shingle), "_row", "_near", "_set", similarity)
-    roots = materialise(exact, "simhash-exact").select(F.col("v").alias("_id"), "root")
+    members = in_parts(loose, "v", "_near", meet)
+    texts = stored.select("_row", F.col(at[text_col]).alias("_text"))
+    sets = shingle_sets(texts.join(loose.select("v"), texts["_row"] == loose["v"]).drop("v"), "_text", "_set", shingle=shingle)
+    exact = confirmed(members.join(materialise(sets, "simhash-sets"), F.col("v") == F.col("_row")).select("_row", "_near", "_pair", "_set"), "_row", "_near", "_set", similarity)
+    roots = materialise(trie.components(exact, "simhash-exact").select(F.col("v").alias("_id"), "root"), "simhash-roots")
     group = one.select("_id", "_first").join(roots, "_id", "left").groupBy(F.coalesce("root", "_id").alias("_g")).agg(F.min("_first").alias("_first"))
     kept = group.select(F.col("_first.r").alias("_row"))
     gone = materialise(stored.select("_row").join(kept, "_row", "left_anti"), "simhash-gone")

@@ -8,13 +8,16 @@ part, and a pair whose bits exceed the budget is pruned with all below it.
 Across machines, the leaves of an adaptive trie over the first 16 bits deal out
 the work: each fingerprint is at home in one leaf and visits those earlier
 leaves whose prefix is within the budget of its own. A leaf over the row target
-is split further, so that a crowded prefix does not meet in one task. A leaf's
-links are returned as a spanning forest (each fingerprint to the smallest one
-it reaches), which keeps every connection and is never larger than the leaf.
+is split further; where one prefix is crowded by itself, its rows are cut into
+parts and every two parts meet in a task of their own, so no task grows with
+the crowd. A task's links are returned as a spanning forest (each fingerprint
+to the smallest one it reaches), which keeps every connection and is never
+larger than the task's rows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -161,6 +164,26 @@ def leaves(counts: dict[int, int], most: int) -> np.ndarray:
     return out
 
 
+def _split(counts: dict[int, int], most: int) -> dict[int, int]:
+    """Parts of the groups that hold over ``most`` rows."""
+    return {g: -(-n // most) for g, n in counts.items() if n > most}
+
+
+def _spread(group: np.ndarray, salt: np.ndarray, parts: dict[int, int]):
+    """(row, group, pair) of all tasks: a group in parts has a task for each two of them, and a row goes to those of its own part."""
+    row, pair = np.arange(len(group)), np.zeros(len(group), dtype=np.int64)
+    if not parts:
+        return row, group, pair
+    hot = np.isin(group, np.fromiter(parts, dtype=np.int64, count=len(parts)))
+    out = [(row[~hot], group[~hot], pair[~hot])]
+    for g in np.unique(group[hot]):
+        c, own = parts[int(g)], np.nonzero(group == g)[0]
+        part = (salt[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % c
+        for other in range(c):
+            out.append((own, group[own], np.minimum(part, other) * c + np.maximum(part, other)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def links(prints: DataFrame, col: str, budget: int, leaf_rows: int = 200_000, least_leaves: int = 64) -> DataFrame:
     """Edges (u, v long) that connect the distinct fingerprints of ``prints`` as all links within ``budget`` bits do."""
     spark = prints.sparkSession
@@ -168,11 +191,14 @@ def links(prints: DataFrame, col: str, budget: int, leaf_rows: int = 200_000, le
     counts = {r.p: r.n for r in prints.groupBy(head).agg(F.count("*").alias("n")).collect()}  # at most 2^16 rows
     total = sum(counts.values())
     leaf_of = leaves(counts, max(1, min(leaf_rows, -(-total // least_leaves))))
+    at_home: dict[int, int] = {}
+    for p, n in counts.items():
+        at_home[int(leaf_of[p])] = at_home.get(int(leaf_of[p]), 0) + n
     flips = np.array([0, *(sum(1 << b for b in c) for k in range(1, budget + 1) for c in combinations(range(PREFIX), k))], dtype=np.int64)
-    table = spark.sparkContext.broadcast(leaf_of)  # 2^16 numbers
+    table = spark.sparkContext.broadcast((leaf_of, _split(at_home, leaf_rows)))  # 2^16 numbers, and a prefix that is crowded by itself
 
     def deal(frames):
-        leaf = table.value
+        leaf, parts = table.value
         for f in frames:
             x = f[col].to_numpy(np.int64)
             p = (x.view(np.uint64) >> np.uint64(64 - PREFIX)).astype(np.int64)
@@ -183,44 +209,106 @@ def links(prints: DataFrame, col: str, budget: int, leaf_rows: int = 200_000, le
                 home = leaf[p[k : k + 20_000]]
                 first &= near <= home[:, None]
                 row, at = np.nonzero(first)
-                yield pd.DataFrame({"leaf": near[row, at], "x": x[k + row], "home": near[row, at] == home[row]})
+                to, mine = near[row, at].astype(np.int64), near[row, at] == home[row]
+                one, group, pair = _spread(to, x[k + row], parts)
+                yield pd.DataFrame({"leaf": group, "pair": pair, "x": x[k + row][one], "home": mine[one]})
 
     def join(f):
         x, home = f["x"].to_numpy(np.int64).view(np.uint64), f["home"].to_numpy(bool)
         u, v = forest(np.sort(x[home]), np.sort(x[~home]), budget)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = prints.select(col).mapInPandas(deal, "leaf int, x long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(join, "u long, v long")
+    dealt = prints.select(col).mapInPandas(deal, "leaf long, pair long, x long, home boolean")
+    return dealt.groupBy("leaf", "pair").applyInPandas(join, "u long, v long")
+
+
+#: Microseconds, about: a copy of a row that is dealt out, a node pair that is visited, a pair of rows whose signatures are compared.
+_COPY, _VISIT, _COMPARE = 10.0, 0.1, 0.05
 
 
-def similar(rows: DataFrame, id_col: str, words: list[str], *, tables: int, bits: int, budget: int, check: int, within: int, group_rows: int = 20_000) -> DataFrame:
+def _within(p: float, bits: int, budget: int) -> float:
+    """Chance that at most ``budget`` of ``bits`` bits differ, each with chance p."""
+    return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
+
+
+def tables_for(n: int, p: float, miss: float, signature: int) -> tuple[int, int, int]:
+    """(tables, budget, width) for n rows: of the settings that overlook pairs whose bits differ with chance p no oftener than ``miss``, the cheapest.
+
+    A fingerprint of (budget + 1) * width bits is cut into budget + 1 blocks, of
+    which one is equal in every pair within the budget. With more rows the
+    blocks get wider, so groups do not grow with the corpus; the number of
+    tables grows instead.
+    """
+    best = None
+    for budget in range(1, 5):
+        for width in range(3, min(30, 62 // (budget + 1), signature // (budget + 1)) + 1):
+            bits = (budget + 1) * width
+            tables = max(1, math.ceil(math.log(miss) / math.log1p(-min(_within(p, bits, budget), 1 - 1e-9))))
+            rows = n / 2**width
+            visits = sum(math.comb(int(math.log2(rows + 2)), k) for k in range(budget + 1))
+            cost = tables * (budget + 1) * (_COPY + _VISIT * visits + _COMPARE * rows / 2 * _within(0.5, bits - width, budget))
+            best = min(best or (math.inf,), (cost, tables, budget, width))
+    return best[1:]
+
+
+def similar(rows: DataFrame, id_col: str, words: list[str], *, p: float, miss: float, check: int, within: int, group_rows: int = 200_000) -> DataFrame:
     """Edges (u, v long) between ids of ``rows`` whose long signatures (``words``, 64 bits each) are alike.
 
-    Each of ``tables`` stretches of ``bits`` bits is a fingerprint of its own,
-    joined within ``budget`` bits. Of budget + 1 blocks of a fingerprint one is
-    equal in every such pair, so a row goes to one group for each block, and the
-    trie there starts below the block's value. Pairs that the trie finds are
-    links if the first ``check`` words differ in at most ``within`` bits. A
-    group returns a spanning forest of its links.
+    Each table takes a fingerprint from the signature, bits drawn by a fixed
+    seed, and joins it within a budget (:func:`tables_for`). Of the blocks of a
+    fingerprint one is equal in every such pair, so a row goes to one group for
+    each block, and the trie there starts below the block's value. Pairs that
+    the trie finds are links if the first ``check`` words differ in at most
+    ``within`` bits. A task returns a spanning forest of its links. Groups over
+    ``group_rows`` rows (near copies of one text share their blocks) are cut
+    into parts, with a task for each two parts.
     """
-    n = rows.count()
-    blocks, width = budget + 1, bits // (budget + 1)
-    split = min(width, max(0, int(np.ceil(np.log2(max(1, n / group_rows))))))
-    mask = np.uint64((1 << bits) - 1)
+    n, signature = rows.count(), 64 * len(words)
+    tables, budget, width = tables_for(max(n, 2), p, miss, signature)
+    bits = (budget + 1) * width
+    rng, pool, places = np.random.default_rng(6), np.zeros(0, dtype=np.int64), []
+    for _ in range(tables):  # bits are used again only when all have been
+        pool = pool if len(pool) >= bits else rng.permutation(signature)
+        places.append(pool[:bits])
+        pool = pool[bits:]
+
+    def keys(f):
+        """(block number, key) of every row: the block first, then the other bits."""
+        w = np.stack([f[c].to_numpy(np.int64).view(np.uint64) for c in words], axis=1)
+        on = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")
+        for t, at in enumerate(places):
+            own = np.zeros((len(on), 64), dtype=np.uint8)
+            own[:, :bits] = on[:, at]
+            for b in range(budget + 1):
+                turned = np.zeros_like(own)
+                turned[:, :bits] = np.roll(own[:, :bits], -b * width, axis=1)
+                key = np.packbits(turned, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+                yield t * (budget + 1) + b, key
+
+    def group_of(number, key):
+        return (np.int64(number) << np.int64(width)) + (key >> np.uint64(64 - width)).astype(np.int64)
+
+    def tally(frames):
+        for f in frames:
+            for k in range(0, len(f), 50_000):
+                for number, key in keys(f.iloc[k : k + 50_000]):
+                    g, c = np.unique(group_of(number, key), return_counts=True)
+                    yield pd.DataFrame({"g": g, "n": c})
+
+    hot = {}
+    if n > group_rows:
+        big = rows.select(*words).mapInPandas(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > group_rows)
+        hot = _split({r.g: r.n for r in big.collect()}, group_rows)  # no more than tables * blocks * n / group_rows rows
+    table = rows.sparkSession.sparkContext.broadcast(hot)
 
     def deal(frames):
+        parts = table.value
         for f in frames:
-            w = [f[c].to_numpy(np.int64).view(np.uint64) for c in words]
-            base = {"id": f[id_col].to_numpy(np.int64), **{f"w{k}": w[k].view(np.int64) for k in range(check)}}
-            for t in range(tables):
-                word, shift = divmod(t * bits, 64)
-                key = (w[word] >> np.uint64(shift)) & mask
-                for b in range(blocks):
-                    turn = np.uint64(b * width)
-                    turned = ((key << turn) | (key >> np.uint64(bits - b * width))) & mask if b else key
-                    group = (t * blocks + b << split) + (turned >> np.uint64(bits - split)).astype(np.int64) if split else np.full(len(key), t * blocks + b)
-                    yield pd.DataFrame({"g": group.astype(np.int32), "key": (turned << np.uint64(64 - bits)).view(np.int64), **base})
+            ids = f[id_col].to_numpy(np.int64)
+            own = {f"w{k}": f[words[k]].to_numpy(np.int64) for k in range(check)}
+            for number, key in keys(f):
+                one, group, pair = _spread(group_of(number, key), ids, parts)
+                yield pd.DataFrame({"g": group, "pair": pair, "key": key.view(np.int64)[one], "id": ids[one], **{c: v[one] for c, v in own.items()}})
 
     def join(f):
         key = f["key"].to_numpy(np.int64).view(np.uint64)
@@ -240,8 +328,8 @@ def similar(rows: DataFrame, id_col: str, words: list[str], *, tables: int, bits
         ids = ids[by_id]
         return pd.DataFrame({"u": ids[moved], "v": ids[of[moved]]})
 
-    schema = "g int, key long, id long, " + ", ".join(f"w{k} long" for k in range(check))
-    return rows.select(id_col, *words).mapInPandas(deal, schema).groupBy("g").applyInPandas(join, "u long, v long")
+    schema = "g long, pair long, key long, id long, " + ", ".join(f"w{k} long" for k in range(check))
+    return rows.select(id_col, *words).mapInPandas(deal, schema).groupBy("g", "pair").applyInPandas(join, "u long, v long")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
