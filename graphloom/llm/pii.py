@@ -14,8 +14,10 @@ In every document that holds e, each occurrence of a term that discloses e by
 
 Candidate pairs come from one pass over the texts. A second pass counts the
 candidate terms in all documents and notes where they occur beside their
-entities; it knows the candidates by two bit tables of fixed size, and exact
-joins drop what these let through wrongly. Only spans are shuffled, not texts.
+entities; it knows the candidates by two bit tables, whose size follows the
+number of pairs up to a bound, and exact joins drop what these let through
+wrongly. Only spans are shuffled, not texts. The work on a text is linear in
+its words and spans, but for a binary search.
 
 Null and empty texts hold nothing. Rows that repeat get the same spans.
 Overlapping spans are all reported, and are masked as one.
@@ -24,6 +26,7 @@ Overlapping spans are all reported, and are masked as one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -41,7 +44,10 @@ REACH = 8
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-BITS = 1 << 23
+#: Spans that an output batch of the scan holds, about.
+MANY = 16_384
+#: Bits of a table for each candidate pair, and bits of a table at least and at most (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,25 +112,58 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts).encode(), 42)
 
 
+class Covered:
+    """Tells whether a stretch of a text overlaps one of its spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for s, _, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.ends) and self.starts[k] < b
+
+
 def _contexts(text: str, spans: list[tuple[int, int, int]]):
-    """(entity, term, context) for the terms near each entity; the context numbers the words around it."""
+    """(entity, term, context) for the terms near each entity, each once; the context numbers the words around it."""
     words = [(m.start(), m.end()) for m in _word.finditer(text)]
-    starts = np.array([a for a, _ in words])
+    starts = [a for a, _ in words]
+    covered, known = Covered(spans), {}
+
+    def term(k: int) -> str | None:
+        if k not in known:
+            a, b = words[k]
+            known[k] = None if covered(a, b) else term_of(text[a:b])
+        return known[k]
+
+    seen = set()
     for span in spans:
-        first = int(np.searchsorted(starts, span[0], "right")) - 1
-        last = int(np.searchsorted(starts, span[2], "left"))
-        near = words[max(0, first - REACH) : max(0, first)] + words[last : last + REACH]
-        near = [(a, b) for a, b in near if not any(s < b and a < e for s, _, e in spans)]
-        terms = [t for a, b in near if (t := term_of(text[a:b]))]
+        first = bisect_right(starts, span[0]) - 1
+        last = bisect_right(starts, span[2] - 1)
+        terms = [t for k in (*range(max(0, first - REACH), max(0, first)), *range(last, min(last + REACH, len(words)))) if (t := term(k))]
         entity, context = _entity(text, span), _hash(*terms) >> 1
-        for t in set(terms):
-            yield entity, t, context
+        if (entity, context) not in seen:
+            seen.add((entity, context))
+            for t in set(terms):
+                yield entity, t, context
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("context", T.LongType())]))
-_arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_arrow_near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
+_arrow_spans = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
+_arrow_near = [("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]
+
+
+def _lists(rows: list[tuple], fields: list[tuple]) -> pa.ListArray:
+    """A list of structs a row; a row holds a tuple of values for each field, or nothing."""
+    flat = [pa.array([x for r in rows if r for x in r[k]], t) for k, (_, t) in enumerate(fields)]
+    ends = np.cumsum([0, *(len(r[0]) if r else 0 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [n for n, _ in fields]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,30 +177,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches):
         for b in batches:
-            spans, near = [], []
-            for t in b.column(2):
-                text = t.as_py() or ""
+            spans, near, size, start = [], [], 0, 0
+            for k in range(b.num_rows):  # a text with very many spans ends its batch
+                text = b.column(2)[k].as_py() or ""
                 found = base_spans(text)
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                near.append([{"entity": e, "term": t, "context": c} for e, t, c in _contexts(text, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _arrow_spans), pa.array(near, _arrow_near)], names=schema.names)
+                spans.append(tuple(zip(*found)))
+                near.append(tuple(zip(*_contexts(text, found))) if found else ())
+                size += len(found)
+                if size > MANY or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, k + 1 - start) for c in (0, 1)), _lists(spans, _arrow_spans), _lists(near, _arrow_near)], names=schema.names)
+                    spans, near, size, start = [], [], 0, k + 1
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def _bit_table(rows: DataFrame, *cols: str) -> np.ndarray:
-    """Bits of the hashed values; BITS / 32768 rows of 4 KB reach the driver, whatever the input."""
+def _table_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n * BITS_EACH - 1).bit_length()))
+
+
+def _bit_table(rows: DataFrame, size: int, *cols: str) -> np.ndarray:
+    """``size`` bits of the hashed values; size / 32768 rows of 4 KB reach the driver."""
     h = F.xxhash64(F.concat_ws("\x00", *cols))
-    at = F.pmod(h, F.lit(BITS)) + 1
+    at = F.pmod(h, F.lit(size)) + 1
     parts = rows.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(BITS // 8, dtype=np.uint8)
+    out = np.zeros(size // 8, dtype=np.uint8)
     for r in parts:
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return out
 
 
 def _has(bits: np.ndarray, *parts: str) -> bool:
-    at = _hash(*parts) % BITS
+    at = _hash(*parts) % (8 * len(bits))
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
@@ -169,7 +215,7 @@ def _recount(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray, pai
     """Second pass: (term, n) over batches, and occurrences (doc, mark, entity, term, start, end) beside candidate entities."""
     keyed = _keyed(docs, id_col, text_col)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in keyed.schema.fields[:2]], *[T.StructField(n, t) for n, t in (("entity", T.StringType()), ("term", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("n", T.LongType()))]])
-    tables = docs.sparkSession.sparkContext.broadcast((terms, pairs))  # 2 MB
+    tables = docs.sparkSession.sparkContext.broadcast((terms, pairs))  # 32 MB at most
 
     def run(batches):
         term_bits, pair_bits = tables.value
@@ -195,11 +241,12 @@ def _recount(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray, pai
                 entities = sorted({_entity(text, s) for s in spans})
                 wanted = {t: es for t in here if (es := [e for e in entities if _has(pair_bits, e, t)])}
                 if wanted:
+                    covered = Covered(spans)
                     for m in _word.finditer(text):
                         core = _core.search(m.group())
                         if core and core.group().lower() in wanted:
                             start, end = m.start() + core.start(), m.start() + core.end()
-                            if not any(s < end and start < e for s, _, e in spans):
+                            if not covered(start, end):
                                 rows += [(k, e, core.group().lower(), start, end) for e in wanted[core.group().lower()]]
             at = pa.array([r[0] for r in rows] + [None] * len(n), pa.int32())
             pad = [None] * len(n)
@@ -216,9 +263,10 @@ def disclosed(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_
     near = scanned.select("doc", "mark", F.explode("near").alias("x")).select("doc", "mark", "x.*")
     contexts = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = materialise(contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support), "pii-pairs")
-    if pairs.isEmpty():
+    size = _table_bits(n := pairs.count())
+    if not n:
         return None
-    again = materialise(_recount(docs, id_col, text_col, _bit_table(pairs, "term"), _bit_table(pairs, "entity", "term")), "pii-recount")
+    again = materialise(_recount(docs, id_col, text_col, _bit_table(pairs, size, "term"), _bit_table(pairs, size, "entity", "term")), "pii-recount")
     total = scanned.count()
     n_t = again.filter("n is not null").groupBy("term").agg(F.sum("n").alias("n_t"))
     one = near.select("doc", "mark", "entity", "term").distinct()  # a document counts once for a pair

@@ -2,6 +2,9 @@ import hashlib
 import math
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from graphloom.llm import pii
 
@@ -72,6 +75,47 @@ def test_copies_prove_nothing_and_masking(spark, make_docs):
     assert pii.masked("7 x 8", [(0, 1, 0.85), (2, 3, 0.85), (4, 5, 1.0)]) == "[NUMBER] [TERM] "
 
 
+def plain_contexts(text, spans):
+    """(entity, term, context) by comparing every word with every span."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", text)]
+    out = set()
+    for s, kind, e in spans:
+        first = max(k for k, w in enumerate(words) if w[0] <= s)
+        last = min([k for k, w in enumerate(words) if w[0] >= e], default=len(words))
+        near = words[max(0, first - pii.REACH) : first] + words[last : last + pii.REACH]
+        terms = [t for a, b in near if not any(x < b and a < y for x, _, y in spans) and (t := pii.term_of(text[a:b]))]
+        out |= {(pii._entity(text, (s, kind, e)), t, pii._hash(*terms) >> 1) for t in terms}
+    return out
+
+
+def test_contexts_of_many_spans():
+    rng = random.Random(5)
+    pieces = ["word", "Name,", "a@b.c", "1.2.3.4", "x@y.z,1.2.3.4", "+1 555 010 9999", "4111 1111 1111 1111", "(long)", "é"]
+    for _ in range(200):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 60)))
+        spans = pii.base_spans(text)
+        got = list(pii._contexts(text, spans))
+        assert len(got) == len(set(got)) and set(got) == plain_contexts(text, spans)
+
+
+def test_a_long_text_with_many_spans(spark, make_docs):
+    text = " ".join(f"user{k}@mail{k % 7}.org wrote name{k % 50}" for k in range(40_000))  # over a million characters
+    began = time.perf_counter()
+    spans = pii.base_spans(text)
+    assert len(spans) == 40_000 and sum(1 for _ in pii._contexts(text, spans)) > 40_000
+    assert time.perf_counter() - began < 15
+    docs = make_docs([text, "ann@mail.org wrote", text], ids=[1, 2, 1])
+    assert sorted((r.doc_id, len(r.spans)) for r in pii.find(docs).collect()) == [(1, 40_000), (1, 40_000), (2, 1)]
+    assert all("@" not in r.text for r in pii.sanitise(docs).collect())
+
+
+def test_clashing_columns_and_bit_tables(spark, make_docs):
+    docs = make_docs(["ann@mail.org wrote to Bob"]).withColumns({"spans": F.lit(1), "doc": F.lit(2), "mark": F.lit("m"), "term": F.lit("t"), "_terms": F.lit(0)})
+    assert pii.sanitise(docs).columns == docs.columns
+    assert pii.sanitise(docs).first()["mark"] == "m" and len(pii.find(docs).first().spans) == 1
+    assert [pii._table_bits(n) for n in (0, 1 << 16, 1 << 40)] == [1 << 20, 1 << 21, 1 << 27]
+
+
 def test_edges(spark, make_docs):
     docs = make_docs([None, "", "a@b.c", "a@b.c"], ids=[1, None, 2, 2])
     assert sorted((r.doc_id or 0, len(r.spans)) for r in pii.find(docs).collect()) == [(0, 0), (1, 0), (2, 1), (2, 1)]
