@@ -2,14 +2,17 @@
 
 Each language's labelled text becomes a suffix automaton. A text is parsed
 greedily against it: every phrase is the longest match that starts where the
-last one ended. A language that fits needs few phrases; the fewest phrases,
-normalised as phrases * log2(training length) / text length, win.
+last one ended, and a symbol that the language lacks is a phrase by itself. A
+language that fits needs few phrases; the fewest phrases, normalised as
+phrases * log2(training length) / text length, win.
 
 Training: of each language, distinct texts in the order of their hash until
 ``chars`` characters are reached (all languages share ``total_chars``); the
 bounds are parameters and each further row is left out of the fit only. The
-parse covers whole texts, in blocks of ``BLOCK`` symbols that run side by side
-as lanes of one vector; a phrase ends with its block, for all languages alike.
+parse covers whole texts and is exact: blocks of ``BLOCK`` symbols run side by
+side as lanes of one vector, each as if a phrase began with it; then every block
+is run again from the state in which the one before it ended, up to the symbol
+at which both runs agree, which is mostly the end of the first phrase.
 
 Letters are compared in lower case, and a run of other characters is one
 separator. Every language has codes for all letters of its own training text;
@@ -38,7 +41,8 @@ TOTAL_CHARS = 1 << 20
 DOCS = 400  # texts of a language that are considered at most
 WIDE = 128  # letters from which a language has sparse transitions
 BLOCK = 512
-LANES = 16_384
+#: States that a run over blocks notes at most, about.
+NOTED = 8_000_000
 UNKNOWN = "und"
 
 _SEPARATOR, _OTHER = 0, 1
@@ -107,8 +111,101 @@ def sparse_automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Dense:
+    """Automata of few letters in one table [state, letter]. A negative entry is the complement of a state that a new phrase leads to."""
+
+    def __init__(self):
+        self.at, self.roots, self.own, self.parts, self.size = [], [], [], [], 0
+
+    def add(self, at: int, codes: np.ndarray, local: np.ndarray, known: int) -> None:
+        width = known + 2  # columns: known symbols, one for all others, padding
+        go, base = suffix_automaton(codes.tolist(), width), self.size
+        fresh = np.where(go[0] >= 0, go[0] * width, 0) + base
+        to = np.where(go >= 0, go * width + base, ~fresh)
+        to[0] = ~fresh  # at the root a phrase begins with any symbol
+        to[:, known + 1] = np.arange(len(go)) * width + base
+        self.at.append(at)
+        self.roots.append(base)
+        self.own.append(local)
+        self.parts.append(to.astype(np.int32).ravel())
+        self.size += to.size
+
+    def ready(self) -> None:
+        self.table = np.concatenate(self.parts)
+        self.parts = []
+        self.local = np.array(self.own, dtype=np.int32)
+        self.roots = np.array(self.roots, dtype=np.int32)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """[language, lane] after one symbol a lane."""
+        return self.table[state + self.local[:, symbols]]
+
+    def step_at(self, which: np.ndarray, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table[state + self.local[which, symbols]]
+
+
+class Sparse:
+    """The automaton of a language of many letters, its transitions as sorted keys."""
+
+    def __init__(self, at: int, codes: np.ndarray, local: np.ndarray, known: int):
+        self.at, self.local, self.width, self.roots = [at], local, known + 2, np.zeros(1, dtype=np.int64)
+        go = sparse_automaton(codes.tolist())
+        edges = np.array(sorted((k * self.width + c, v) for k, d in enumerate(go) if k for c, v in d.items()) or [(-1, 0)], dtype=np.int64)
+        self.keys, self.to = edges[:, 0].copy(), edges[:, 1].copy()
+        self.fresh = np.array([go[0].get(c, 0) for c in range(self.width)], dtype=np.int64)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.step_at(None, state, symbols)
+
+    def step_at(self, which, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        c = self.local[symbols]
+        key = state * self.width + c
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(c == self.width - 1, state, np.where(self.keys[place] == key, self.to[place], ~self.fresh[c]))
+
+
+def _state(raw: np.ndarray) -> np.ndarray:
+    return raw ^ (raw >> (8 * raw.dtype.itemsize - 1))
+
+
+def _parse(a, symbols: np.ndarray, follows: np.ndarray, before: np.ndarray | None):
+    """Phrases [language, lane] that begin in each block, and the states after the last one.
+
+    ``symbols`` [place, lane] holds a block a lane; a block that ``follows`` goes
+    on in the state of the lane to its left, the first one in ``before``.
+    """
+    n = symbols.shape[1]
+    roots = np.repeat(a.roots[:, None], n, axis=1)
+    noted = np.empty((len(symbols), *roots.shape), dtype=roots.dtype)
+    state = roots
+    for t, c in enumerate(symbols):
+        noted[t] = a.step(state, c)
+        state = _state(noted[t])
+    count = (noted < 0).sum(axis=0)
+    begun = roots.copy()
+    while True:
+        last = _state(noted[-1])
+        at = begun.copy()
+        at[:, 1:] = np.where(follows[1:], last[:, :-1], roots[:, 1:])
+        at[:, 0] = before if before is not None and follows[0] else a.roots
+        which, lane = np.nonzero(at != begun)
+        if not len(lane):
+            return count, last[:, -1]
+        state, begun = at[which, lane], at
+        for t, c in enumerate(symbols):  # until the run from this state agrees with the one that was noted
+            raw, old = a.step_at(which, state, c[lane]), noted[t, which, lane]
+            count[which, lane] += (raw < 0).astype(np.int64) - (old < 0)
+            noted[t, which, lane] = raw
+            state = _state(raw)
+            apart = state != _state(old)
+            if not apart.all():
+                which, lane, state = which[apart], lane[apart], state[apart]
+                if not len(lane):
+                    break
+
+
 class Model:
-    """Automata of all languages, ready for parsing: the dense ones in one table, each sparse one as sorted keys."""
+    """Automata of all languages, ready for parsing."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
@@ -118,36 +215,21 @@ class Model:
         for k, c in enumerate(letters):
             self.code[ord(c)] = 2 + k
         self.bits = np.zeros(len(self.names))
-        self.dense, self.sparse = [], []  # positions of languages; (position, letters, width, keys, states, first states)
-        tables, self.roots, own, base = [], [], [], 0
+        dense, self.automata = Dense(), []
         for at, name in enumerate(self.names):
             codes = np.concatenate([np.append(self.encode(t), _SEPARATOR) for t in samples[name]]).astype(np.int64)
             self.bits[at] = np.log2(max(2, len(codes)))
             known = np.unique(codes)
-            miss = len(known)  # columns: known symbols, one for all others, padding
-            width = miss + 2
-            local = np.full(self.pad + 1, miss, dtype=np.int32)
-            local[known] = np.arange(miss)
-            local[self.pad] = miss + 1
-            if miss > WIDE:
-                go = sparse_automaton(local[codes].tolist())
-                edges = np.array(sorted((k * width + c, v) for k, d in enumerate(go) for c, v in d.items()), dtype=np.int64)
-                fresh = np.array([go[0].get(c, 0) for c in range(width)], dtype=np.int64)
-                self.sparse.append((at, local, width, edges[:, 0].copy(), edges[:, 1].copy(), fresh))
-                continue
-            go = suffix_automaton(local[codes].tolist(), width)
-            state = np.arange(len(go), dtype=np.int32) * width + base
-            to = np.where(go >= 0, go * width + base, 0).astype(np.int32)
-            fresh = np.where(go[0] >= 0, to[0], base)  # a new phrase starts with the symbol that did not fit
-            to = np.where(go >= 0, to, ~fresh).astype(np.int32)
-            to[:, miss + 1] = state
-            tables.append(to.ravel())
-            self.dense.append(at)
-            self.roots.append(base)
-            own.append(local)
-            base += to.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.local = np.array(own, dtype=np.int32).reshape(len(own), self.pad + 1)
+            local = np.full(self.pad + 1, len(known), dtype=np.int32)
+            local[known] = np.arange(len(known))
+            local[self.pad] = len(known) + 1
+            if len(known) > WIDE:
+                self.automata.append(Sparse(at, local[codes], local, len(known)))
+            else:
+                dense.add(at, local[codes], local, len(known))
+        if dense.at:
+            dense.ready()
+            self.automata.append(dense)
 
     def encode(self, text: str) -> np.ndarray:
         codes = self.code[np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)]
@@ -165,32 +247,14 @@ class Model:
         for t, n in zip(texts, blocks):
             flat[at : at + n].reshape(-1)[: len(t)] = t
             at += n
-        roots = np.array(self.roots, dtype=np.int32)[:, None]
-        for k in range(0, len(owner), LANES):
-            lanes = np.ascontiguousarray(flat[k : k + LANES].T)
-            whose = owner[k : k + LANES]
-            if self.dense:
-                state = np.repeat(roots, lanes.shape[1], axis=1)
-                count = np.zeros_like(state)
-                for symbols in lanes:
-                    state = self.table[state + self.local[:, symbols]]
-                    miss = state >> 31
-                    state ^= miss
-                    count -= miss
-                count += state != roots
-                for at, n in zip(self.dense, count):
-                    np.add.at(out[:, at], whose, n)
-            for at, local, width, keys, to, fresh in self.sparse:
-                state = np.zeros(lanes.shape[1], dtype=np.int64)
-                n = np.zeros_like(state)
-                for symbols in lanes:
-                    c = local[symbols]
-                    key = state * width + c
-                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    fits, there = keys[place] == key, c != width - 1
-                    state = np.where(fits, to[place], np.where(there, fresh[c], state))
-                    n += ~fits & there
-                np.add.at(out[:, at], whose, n + (state != 0))
+        follows = np.zeros(len(owner), dtype=bool)
+        follows[1:] = owner[1:] == owner[:-1]
+        for a in self.automata:
+            lanes, end = max(64, NOTED // (BLOCK * len(a.at))), None
+            for k in range(0, len(owner), lanes):
+                count, end = _parse(a, np.ascontiguousarray(flat[k : k + lanes].T), follows[k : k + lanes], end)
+                for at, n in zip(a.at, count):
+                    np.add.at(out[:, at], owner[k : k + lanes], n)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

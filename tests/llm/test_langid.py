@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import langid
 
@@ -19,30 +20,34 @@ def test_automaton_holds_exactly_the_substrings():
         assert (state >= 0) == (w in subs)
 
 
-def test_phrases_match_a_plain_parse():
+def plain_parse(text, train):
+    """Longest matches, one after the other; a symbol that the training text lacks stands alone."""
+    count = at = 0
+    while at < len(text):
+        step = 1
+        while at + step < len(text) and text[at : at + step + 1] in train:
+            step += 1
+        count += 1
+        at += step
+    return count
+
+
+def test_phrases_match_a_plain_parse(monkeypatch):
     rng = random.Random(2)
     word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 7)))
-    samples = {"x": [" ".join(word("abcd") for _ in range(60))], "y": [" ".join(word("cdef") for _ in range(60))]}
-    m = langid.Model(samples)
-    texts = [" ".join(word("abcdefz") for _ in range(n)) for n in (1, 5, 400)]
-    got = m.phrases([m.encode(t) for t in texts])
-    for t, row in zip(texts, got):
-        for name, n in zip(m.names, row):
-            train = "".join(chr(c) for c in np.concatenate([np.append(m.encode(s), 0) for s in samples[name]]))
-            codes = "".join(map(chr, m.encode(t)))
-            count = 0
-            for k in range(0, len(codes), langid.BLOCK):
-                block, at = codes[k : k + langid.BLOCK], 0
-                while at < len(block):
-                    step = 1
-                    while at + step < len(block) and block[at : at + step + 1] in train:
-                        step += 1
-                    count += 1
-                    at += step
-            # a symbol that the language does not know ends a phrase without beginning one
-            assert abs(int(n) - count) <= sum(chr(m.encode(c)[0]) not in train for c in set(t) if c != " ") * len(t)
-            if "z" not in t and name == "x" and not set(t) & set("ef"):
-                assert n == count
+    samples = {"x": [" ".join(word("abcd") for _ in range(60)), "ab" * 40], "y": [" ".join(word("cdef") for _ in range(60)), "c" * 90]}
+    texts = [" ".join(word("abcdefz") for _ in range(n)) for n in (1, 5, 400)] + ["ab" * 900, "c" * 2000, "z" * 700, "a", "cz" * 300, samples["x"][0] * 5]
+    strings = {n: "".join(chr(c) for c in np.concatenate([np.append(langid.Model(samples).encode(t), 0) for t in samples[n]])) for n in samples}
+    for wide, block, noted in ((128, 512, 8_000_000), (128, 7, 1), (0, 512, 8_000_000), (0, 5, 1)):  # dense, sparse, matches over many blocks and runs
+        monkeypatch.setattr(langid, "WIDE", wide)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "NOTED", noted)
+        m = langid.Model(samples)
+        codes = [m.encode(t) for t in texts]
+        want = [[plain_parse("".join(map(chr, c)), strings[n]) for n in m.names] for c in codes]
+        assert m.phrases(codes).tolist() == want
+        alone = [m.phrases([c])[0].tolist() for c in codes]  # a text's phrases do not depend on its neighbours
+        assert alone == want
 
 
 def _docs(make_docs):
@@ -78,6 +83,14 @@ def test_edges(spark, make_docs):
     assert copies == {"en": ["abc def ghi"]}
 
 
+def test_clashing_columns_and_very_long_texts(spark, make_docs):
+    docs = make_docs(["the thing " * 100_000, "die dinge", "the thing"], ids=[1, 2, 3]).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(9))
+    out = langid.identify(docs, {"en": ["the thing and that"], "de": ["die dinge und das"]})
+    assert sorted(out.columns) == sorted(c for c in docs.columns if c != "text")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
+    assert [got[k][0] for k in (1, 2, 3)] == ["en", "de", "en"] and all(0.5 < x <= 1 for _, x in got.values())
+
+
 def test_all_scripts_are_told_apart(monkeypatch):
     rng = random.Random(8)
     starts = {"aa": (0x61, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "uk": (0x430, 32), "he": (0x5D0, 26), "ka": (0x10D0, 33), "th": (0xE01, 46), "zh": (0x4E00, 400), "yi": (0x4E80, 400)}
@@ -87,7 +100,7 @@ def test_all_scripts_are_told_apart(monkeypatch):
     held = [(n, text(n, 30)) for n in starts for _ in range(10)]
     m = langid.Model(samples)
     assert [x for x, _ in m.predict([t for _, t in held])] == [n for n, _ in held]
-    assert len(m.sparse) == 2
+    assert sum(isinstance(a, langid.Sparse) for a in m.automata) == 2
     counts = m.phrases([m.encode(t) for _, t in held])
     for name in ("el", "zh"):  # what a language makes of a text does not depend on the others
         alone = langid.Model({name: samples[name]})
