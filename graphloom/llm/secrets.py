@@ -8,16 +8,23 @@ the encoding (hexadecimal, base 32, letters, decimal, base 64) and asks
 * whether values above and below the middle alternate as by chance (runs),
 * whether neighbouring values are uncorrelated (lag-1 serial correlation).
 
-A string that fails one of the three is not random. For one that passes, the
-p-value is the chance that natural text of its encoding and length holds so
-many rare letters (letters, base 32, base 64), changes character class so often
-(hexadecimal; with rare letters in base 32 and base 64), repeats letters so
-rarely (base 64), or has so few equal or neighbouring digits in a row (decimal).
-Where several of these are asked, the least p-value counts times their number.
-Benjamini-Hochberg control, separately for each band of lengths (short strings
-carry little evidence, and there are many of them), bounds the share of false
-discoveries at ``RATE`` over all candidates of the corpus. A discovery adds a
-span of kind ``random`` unless a pattern span covers it.
+Each test gives a p-value under the null that the string is random, and a Cauchy
+combination makes one of the three. Benjamini-Hochberg control, separately for each
+encoding and band of lengths (short strings carry little evidence, and there are
+many of them), dismisses strings as not random; at most ``DISMISS`` of those
+dismissed are expected to be random after all.
+
+For those left, a second p-value is the chance that natural text of the encoding
+and length holds so many rare letters (letters, base 32, base 64), changes
+character class so often (hexadecimal; with rare letters in base 32 and base 64),
+repeats letters so rarely (base 64), or has so few equal or neighbouring digits
+in a row (decimal). Where several of these are asked, the least p-value counts
+times their number. The same control over all candidates of the corpus, those
+dismissed counted at p = 1, bounds the share of false discoveries at ``RATE``. A
+discovery adds a span of kind ``random`` unless a pattern span covers it.
+
+A candidate has ``LEAST_LENGTH`` characters, of which ``LEAST_CORE`` belong to
+its alphabet; shorter strings have no battery.
 
 Match positions come from ``split`` and ``regexp_extract_all``: the pieces
 between matches and the matches themselves add up to code-point offsets. Null
@@ -27,6 +34,9 @@ often as they occur in the control of false discoveries.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +46,11 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the run's first AKIA is the longest match, so a length of 20 can be part of the pattern
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: False-discovery rate, and the normal deviate beyond which a test of the battery fails.
+LEAST_LENGTH, LEAST_CORE = 20, 16
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
+#: False-discovery rates: of strings reported, and of strings dismissed as not random.
 RATE = 0.01
-FAIL = 3.3
+DISMISS = 0.005
 #: Natural text: changes of character class a step, chance that two letters are equal, share of rare letters, share of steps to the same or a neighbouring digit.
 CHANGES = 0.15
 COINCIDENCE = 0.065
@@ -76,12 +87,22 @@ def _matches(text: Column, pattern: str, test=None, group: int = 0) -> Column:
 
 
 def _normal_tail(z: Column) -> Column:
-    """Upper tail of the normal distribution, by the cubic logistic approximation."""
-    return 1.0 / (1.0 + F.exp(0.07056 * z * z * z + 1.5976 * z))
+    """Upper tail of the normal distribution: a rational approximation, absolute error 1e-7, relative error about one per cent in the far tail."""
+    x = F.abs(z)
+    t = 1.0 / (1.0 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+    return F.when(z >= 0, upper).otherwise(1.0 - upper)
+
+
+def _joint(ps: list[Column]) -> Column:
+    """One p-value of several by the Cauchy combination, which holds if they depend on each other, as those of runs and serial correlation do."""
+    t = sum((1.0 / F.tan(math.pi * F.least(F.greatest(p, F.lit(1e-30)), F.lit(0.99))) for p in ps), F.lit(0.0)) / len(ps)
+    return F.atan2(F.lit(1.0), t) / math.pi
 
 
 def _battery(s: Column) -> Column:
-    """struct(encoding, ok, p) of a candidate string."""
+    """struct(encoding, chi, runs, lag, battery, p) of a candidate string: the deviates of the three tests, their joint p-value for random strings, and the p-value for natural text."""
     core = F.regexp_replace(F.regexp_replace(s, "=+$", ""), "[_-]", "")
     flat = F.when(core.rlike(ENCODINGS["hex"][0]) | core.rlike(ENCODINGS["letters"][0]) & ~core.rlike(ENCODINGS["base32"][0]), F.lower(core)).otherwise(core)
     encoding = F.lit("base64")
@@ -106,9 +127,10 @@ def _battery(s: Column) -> Column:
         z_runs = (runs - mean) / spread
         total = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c)
         power = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c * c)
-        lag = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(t)), lambda c, d: c * F.coalesce(d, F.lit(0.0))), F.lit(0.0), lambda acc, c: acc + c)
+        lag = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(t)), lambda c, d: c * F.coalesce(d, codes[0])), F.lit(0.0), lambda acc, c: acc + c)  # the last value is followed by the first
         z_lag = ((n * lag - total * total) / F.greatest(n * power - total * total, F.lit(1e-9)) + 1 / (n - 1)) * F.sqrt(n)
-        ok = (z_chi < FAIL) & (F.abs(z_runs) < FAIL) & (F.abs(z_lag) < FAIL)
+        two_sided = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(F.abs(z)))
+        battery = _joint([_normal_tail(z_chi), two_sided(z_runs), two_sided(z_lag)])
         changes = F.size(F.regexp_extract_all(x["core"], F.lit("(?<=[a-z])(?=[A-Z])|(?<=[0-9])(?=[A-Za-z+/])|(?<=[A-Za-z+/])(?=[0-9])"), F.lit(0)))
         z_changes = (changes - 0.5 - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
         equal = (squares - n) / (n * (n - 1))
@@ -124,15 +146,15 @@ def _battery(s: Column) -> Column:
         p = tail([z_rare, both, (z_changes + z_equal) / 2**0.5])
         for name, zs in asked.items():
             p = F.when(x["encoding"] == name, tail(zs)).otherwise(p)
-        return F.struct(x["encoding"].alias("encoding"), ok.alias("ok"), p.alias("p"))
+        return F.struct(x["encoding"].alias("encoding"), z_chi.alias("chi"), z_runs.alias("runs"), z_lag.alias("lag"), battery.alias("battery"), p.alias("p"))
 
     one = F.array(F.struct(flat.alias("t"), core.alias("core"), alphabet.alias("alpha"), encoding.alias("encoding")))
-    fit = F.length(core) >= 16  # a string of little but separators has no battery
+    fit = F.length(core) >= LEAST_CORE  # a string of little but separators has no battery
     return F.when(fit, F.transform(one, tests)[0])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans, candidates) of every row: pattern spans (start, kind, end), and strings with encoding, verdict and p-value."""
+    """(id, spans, candidates) of every row: pattern spans (start, kind, end), and strings with their encoding, deviates and p-values."""
     t = F.col("_text")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
@@ -161,27 +183,48 @@ def _step(p: Column) -> Column:
     return F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * _GRID).cast("int")
 
 
-def thresholds(scanned: DataFrame, rate: float = RATE) -> list[int]:
-    """For each band the grid step of the p-value from which strings are discoveries."""
-    all_ = scanned.select(F.explode("candidates").alias("c")).select(_band(F.col("c.end") - F.col("c.start")).alias("band"), _step(F.col("c.b.p")).alias("step"), F.col("c.b.ok").alias("ok"))
-    counted = all_.groupBy("band", "step").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("ok")).collect()  # a row a grid step
-    out = []
-    for band in range(len(BANDS) + 1):
-        rows = sorted(((r.step, r.n, r.ok) for r in counted if r.band == band), reverse=True)
-        m, found, best = sum(n for _, n, _ in rows), 0, 31 * _GRID
-        for step, _, ok in rows:
-            found += ok
-            if found and 10 ** (-step / _GRID) * m / found <= rate:
-                best = step
-        out.append(best)
-    return out
+_NEVER = 31 * _GRID
+_NAMES = list(ENCODINGS)
+
+
+def _class(encoding: Column, n: Column) -> Column:
+    """Number of a string's encoding and band of lengths."""
+    return (F.array_position(F.array(*map(F.lit, _NAMES)), encoding).cast("int") - 1) * (len(BANDS) + 1) + _band(n)
+
+
+def controlled(counts: dict[int, int], total: int, rate: float) -> int:
+    """Benjamini-Hochberg on a grid: the smallest step from which p-values are rejected; counts: strings at each step."""
+    found, best = 0, _NEVER
+    for step in sorted(counts, reverse=True):
+        found += counts[step]
+        if found and 10 ** (-step / _GRID) * total / found <= rate:
+            best = step
+    return best
+
+
+def thresholds(scanned: DataFrame, rate: float = RATE, dismiss: float = DISMISS) -> tuple[list[int], list[int]]:
+    """For each class of strings the grid steps from which the battery dismisses a string, and from which the rest are discoveries."""
+    all_ = scanned.select(F.explode("candidates").alias("c")).select(_class(F.col("c.b.encoding"), F.col("c.end") - F.col("c.start")).alias("k"), _step(F.col("c.b.battery")).alias("battery"), _step(F.col("c.b.p")).alias("step"))
+    counted = all_.groupBy("k", "battery", "step").agg(F.count("*").alias("n")).collect()  # a row a class and pair of grid steps
+    out, bar = [_NEVER] * len(_NAMES) * (len(BANDS) + 1), [_NEVER] * len(_NAMES) * (len(BANDS) + 1)
+    for k in range(len(out)):
+        rows = [r for r in counted if r.k == k]
+        total, tested, left = sum(r.n for r in rows), Counter(), Counter()
+        for r in rows:
+            tested[r.battery] += r.n
+        out[k] = controlled(tested, total, dismiss)
+        for r in rows:
+            left[r.step if r.battery < out[k] else 0] += r.n
+        bar[k] = controlled(left, total, rate)
+    return out, bar
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE, dismiss: float = DISMISS) -> DataFrame:
     """(id, spans, added) of every row: pattern spans and discoveries, as (start, kind, end)."""
     scanned = materialise(scan(docs, id_col, text_col), "secrets")
-    bar = F.array(*map(F.lit, thresholds(scanned, rate)))
-    good = F.filter("candidates", lambda x: x["b"]["ok"] & (_step(x["b"]["p"]) >= bar[_band(x["end"] - x["start"])]) & ~F.exists("spans", lambda s: (s["start"] <= x["start"]) & (s["end"] >= x["end"])))
+    out, bar = (F.array(*map(F.lit, x)) for x in thresholds(scanned, rate, dismiss))
+    kind = lambda x: _class(x["b"]["encoding"], x["end"] - x["start"])
+    good = F.filter("candidates", lambda x: (_step(x["b"]["battery"]) < out[kind(x)]) & (_step(x["b"]["p"]) >= bar[kind(x)]) & ~F.exists("spans", lambda s: (s["start"] <= x["start"]) & (s["end"] >= x["end"])))
     added = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return scanned.select(F.col("id").alias(id_col), "spans", added.alias("added"))
 

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+
 from graphloom.llm import secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -67,4 +70,73 @@ def test_every_encoding_can_be_found(spark, make_docs):
     assert not any(k in hit for k in range(200, len(rows)))
     judged = [r.candidates[0].b for r in secrets.scan(make_docs([make(digits, 80) for _ in range(40)] + ["20240501123045000012" * 4])).collect()]
     assert all(b.encoding == "decimal" for b in judged)  # a pattern span covers longer ones, so the verdict itself is looked at
-    assert sum(b.ok and b.p < 0.01 for b in judged[:40]) >= 30 and not (judged[40].ok and judged[40].p < 0.01)
+    assert sum(b.battery > 1e-3 and b.p < 0.01 for b in judged[:40]) >= 30 and not (judged[40].battery > 1e-3 and judged[40].p < 0.01)
+
+
+def plain_battery(s):
+    """Encoding, the three deviates and their joint p-value, by numpy."""
+    core = re.sub("[_-]", "", s.rstrip("="))
+    name = next(n for n in ("decimal", "hex", "base32", "letters", "base64") if re.search(secrets.ENCODINGS[n][0], core))
+    alphabet = secrets.ENCODINGS[name][1]
+    codes = np.array([alphabet.index(c) for c in (core.lower() if name in ("hex", "letters") else core)])
+    n, a = len(codes), len(alphabet)
+    counts = np.bincount(codes, minlength=a)
+    chi, df = ((counts - n / a) ** 2 / (n / a)).sum(), a - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = 2 * codes >= a
+    runs, n1 = 1 + (high[1:] != high[:-1]).sum(), high.sum()
+    mean = 1 + 2 * n1 * (n - n1) / n
+    z_runs = (runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    d = codes.astype(float)
+    lag = (n * (np.roll(d, -1) * d).sum() - d.sum() ** 2) / max(n * (d * d).sum() - d.sum() ** 2, 1e-9)
+    z_lag = (lag + 1 / (n - 1)) * math.sqrt(n)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    ps = [tail(z_chi), min(1, 2 * tail(abs(z_runs))), min(1, 2 * tail(abs(z_lag)))]
+    t = sum(1 / math.tan(math.pi * min(max(p, 1e-30), 0.99)) for p in ps) / 3
+    return name, z_chi, z_runs, z_lag, math.atan2(1, t) / math.pi
+
+
+def test_battery_matches_numpy(spark, make_docs):
+    rng = random.Random(4)
+    alphabets = ["0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABab01+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    strings = ["".join(rng.choice(x) for _ in range(rng.randint(20, 90))) for x in alphabets for _ in range(6)] + ["a" * 30, "abcdefghijklmnopqrstuvwxyz", "01" * 20]
+    got = [r.candidates[0].b for r in secrets.scan(make_docs(strings)).collect()]
+    for s, b in zip(strings, got):
+        name, *want = plain_battery(s)
+        assert b.encoding == name
+        for have, w in zip((b.chi, b.runs, b.lag), want):
+            assert math.isclose(have, w, rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(b.battery, want[3], rel_tol=0.05, abs_tol=1e-7)
+
+
+def test_battery_is_calibrated():
+    rng = random.Random(5)
+    for name, (_, alphabet) in secrets.ENCODINGS.items():
+        for n in (20, 60):
+            ps = [plain_battery("".join(rng.choice(alphabet) for _ in range(n)))[4] for _ in range(1500)]
+            assert sum(p < 0.01 for p in ps) <= 40, (name, n)  # 15 are expected
+
+
+def test_false_discovery_control_is_benjamini_hochberg():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        steps = np.concatenate([rng.integers(0, 30, rng.integers(0, 200)), rng.integers(20, 300, rng.integers(0, 40))])
+        total, rate = len(steps), float(rng.choice([0.005, 0.01, 0.2]))
+        ordered = np.sort(10.0 ** (-steps / secrets._GRID))  # the p-values that the grid stands for
+        ok = np.nonzero(ordered * total / np.arange(1, total + 1) <= rate)[0] if total else []
+        want = total and len(ok) and ordered[ok[-1]]
+        bar = secrets.controlled(dict(zip(*np.unique(steps, return_counts=True))), total, rate)
+        assert sum(steps >= bar) == (sum(ordered <= want) if want else 0)
+
+
+def test_both_controls_work_by_encoding_and_length(spark, make_docs):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    spoilt = ["".join(sorted(make(70))) for _ in range(30)]  # rare letters enough, but in order
+    texts = [make(70) for _ in range(30)] + spoilt + [make(24) for _ in range(30)]
+    scanned = secrets.scan(make_docs(texts))
+    out, bar = secrets.thresholds(scanned)
+    assert len(out) == len(bar) == 15 and len(set(out)) > 1
+    hit = {r.doc_id for r in secrets.find(make_docs(texts)).collect() if len(r.added)}
+    assert len(hit & set(range(30))) >= 27 and not hit & set(range(30, 60))
