@@ -43,3 +43,28 @@ def test_empty_and_few(spark):
     assert [(r.query_id, r.vec_id) for r in blockjoin.nearest(df.filter("vec_id = 0"), df, 5).collect()] == [(0, 1)]
     assert blockjoin.nearest(df.limit(0), df, 5).count() == 0
     assert blockjoin.nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_intervals_hold_and_only_survivors_are_fetched():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 48)), rng.normal(size=(300, 48))
+    y[100:140] = y[100]
+    y[:20] = x * 3 + rng.normal(size=(20, 48)) * 1e-3
+    side = lambda v, first: (np.arange(first, first + len(v)), np.array([hash(r.tobytes()) for r in v]), *blockjoin.quantise(v))
+    left, right = side(x, 0), side(y, 1000)
+    order = np.lexsort((right[0], right[1]))
+    q, c, low, high = blockjoin.tile(left, tuple(part[order] for part in right), 3)
+    cos = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+    true = cos[q, c - 1000]
+    assert (low <= true).all() and (true <= high).all() and (high - low < 0.05).all()
+    assert len(q) < 20 * 300 / 4
+    for k in range(20):
+        best = np.argsort(-cos[k], kind="stable")[:3] + 1000
+        assert set(best) <= set(c[q == k])
+
+
+def test_ids_that_repeat_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (2, [1.0, 0.2])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in rows], "vec_id long, embedding array<float>, id int, score int, rank int, query_id string")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in blockjoin.nearest(df.filter("vec_id = 0"), df, 5).collect()]
+    assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 2, round(0.2 / 1.04**0.5, 6))]  # the query is the smaller vector, (0, 1)
