@@ -8,8 +8,11 @@ anything, record boundaries included.
 
 Deduplication shuffles headers only: of the records with equal payload digests
 and at least ``LEAST`` bytes, that with the smallest id is a response, others
-become revisit records that name it and carry no payload. Resolving joins
-revisits to the responses that they name and takes the payload's size there.
+become revisit records that name it and carry no payload. Payloads are read
+where they lie and written at once: the files of the input are taken in batches
+whose revisits number no more than ``FLAGS`` (and those of one file), and the
+list of a batch's revisits is broadcast to it. Resolving joins revisits to the
+responses that they name and takes the payload's size there.
 
 A null payload is empty. Rows that repeat both id and payload are the same
 record and are all written alike. A null id is the largest id; if all ids of a
@@ -24,6 +27,7 @@ import io
 import zlib
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +36,40 @@ from ._common import materialise, new_path, small_batches, table
 LEAST = 100
 #: Payload bytes of an archive file, about.
 FILE_BYTES = 32 << 20
+#: Payload bytes of an archive file at most, unless one payload has more; readers load a file whole.
+MOST_BYTES = 1 << 30
+#: Revisits that are broadcast at once, about 64 bytes each.
+FLAGS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _LAST = (1 << 63) - 1
 
 
-def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(id, bytes, digest) of every payload."""
+def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", more: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, bytes, digest, ...) of every payload."""
     raw = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    return pages.select(F.col(id_col).alias("id"), F.octet_length(raw).cast("long").alias("bytes"), F.sha2(raw, 256).alias("digest"))
+    return pages.select(F.col(id_col).alias("id"), F.octet_length(raw).cast("long").alias("bytes"), F.sha2(raw, 256).alias("digest"), *more)
+
+
+def in_files(pages: DataFrame) -> DataFrame:
+    """``pages`` if its rows know the file that they come from; a plan that is no plain scan is written first."""
+    try:
+        pages.select("_metadata.file_path")
+        return pages
+    except AnalysisException:
+        return materialise(pages, "warc-pages")
+
+
+def batches(files: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Files (path, revisits) in runs of at most ``most`` revisits, or one file."""
+    out, room = [], 0
+    for path, n in sorted(files):
+        if not out or n > room:
+            out.append([])
+            room = most
+        out[-1].append(path)
+        room -= n
+    return out
 
 
 def originals(heads: DataFrame, least: int = LEAST) -> DataFrame:
@@ -59,17 +88,31 @@ def _name(id_: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES, flags: int = FLAGS, date: str = DATE) -> DataFrame:
     """Write deduplicated archives of ``pages``; returns the headers (id, bytes, digest)."""
-    heads = materialise(headers(pages, id_col, payload_col), "warc-headers")
-    size = heads.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
-    twice = materialise(originals(heads, least), "warc-originals")
+    pages, file = in_files(pages), F.col("_metadata.file_path")
+    heads = materialise(headers(pages, id_col, payload_col, (file.alias("file"),)), "warc-headers")
+    size = heads.agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("most")).first()
+    per_file = max(1, min(file_bytes // max(1, (size.b or 0) // max(1, size.n)), MOST_BYTES // max(1, size.most or 0)))
+    again = heads.filter(F.col("bytes") >= least).join(originals(heads, least), "digest").filter(~F.col("id").eqNullSafe(F.col("original")))
+    again = materialise(again.select("file", "id", "digest", "original"), "warc-revisits")
+    files = heads.select("file").distinct().join(again.groupBy("file").agg(F.count("*").alias("n")), "file", "left")
+    runs = batches([(r.file, r.n or 0) for r in files.collect()], flags)  # a row an input file
+    for k, run in enumerate(runs or [[]]):
+        mine = lambda c: c.isin(run) if len(runs) > 1 else F.lit(True)  # noqa: E731,B023
+        told = F.broadcast(again.filter(mine(F.col("file"))).groupBy("id", "digest").agg(F.min("original").alias("original")))  # `flags` rows at most, or one file's
+        _write(pages.filter(mine(file)), told, f"{path}/run-{k:06d}", id_col, url_col, payload_col, per_file, date)
+    return heads.drop("file")
+
+
+def _write(pages: DataFrame, told: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, per_file: int, date: str) -> None:
+    """One run of archives; ``told`` (id, digest, original) names its revisits."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     url = F.col(url_col) if url_col in pages.columns else F.lit(None)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_replace(url.cast("string"), r"[\r\n]", "%0A"), F.lit("about:blank")).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    rows = rows.join(twice, "digest", "left")
-    long = F.octet_length("payload") >= least
-    revisit = long & F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
+    told = told.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original")
+    rows = rows.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    revisit = F.col("original").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -85,9 +128,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         F.lit("\r\n"),
         body,
     )
-    per_file = max(1, int(file_bytes // max(1, (size.b or 0) // max(1, size.n))))
     rows.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-    return heads
 
 
 class _Stream(io.RawIOBase):
