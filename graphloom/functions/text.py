@@ -20,6 +20,19 @@ def token_type(token: Column) -> Column:
     return F.when(token.rlike("^[0-9]+$"), "NUMBER").when(token.rlike("^[A-Za-z0-9]+(/[A-Za-z0-9]+)+$"), "ACRONYM").when(token.rlike("^[A-Za-z]+$"), "WORD").otherwise("PUNCTUATION")
 
 
+def token_counts(text: Column) -> dict[str, Column]:
+    """Tokens of each type, counted without building them. An abbreviation takes the whole run of letters and digits that it begins in, so what is left of the text holds the other tokens unchanged."""
+    abbreviation = "[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+"
+    rest = F.when(F.contains(text, F.lit("/")), F.regexp_replace(text, abbreviation, " ")).otherwise(text)
+    count = lambda where, pattern: F.regexp_count(where, F.lit(pattern)).cast("long")
+    return {
+        "ACRONYM": F.when(F.contains(text, F.lit("/")), count(text, abbreviation)).otherwise(F.lit(0).cast("long")),
+        "NUMBER": count(rest, "[0-9]+"),
+        "WORD": count(rest, "[A-Za-z]+"),
+        "PUNCTUATION": count(rest, r"(?U)[^A-Za-z0-9\s]+"),
+    }
+
+
 def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 

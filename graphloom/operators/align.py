@@ -7,14 +7,16 @@ document at a time in Arrow batches.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heapreplace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import spans
+from .chunks import spans, words
 
 #: Stands between the extractions of a text while they are matched.
 DELIMITER = "␟"
@@ -27,40 +29,78 @@ def _light(token: str) -> str:
     return t[:-1] if len(t) > 3 and t.endswith("s") and not t.endswith("ss") else t
 
 
+def _windows(inside: list[int], n: int, size: int):
+    """(start, end) of the windows that can be best, shortest first, then by start.
+
+    A window over ``n`` tokens that begins or ends with a token which is not
+    wanted matches no more than the one without it, which comes earlier; so
+    beyond ``n`` tokens only windows between wanted tokens count, and at ``n``
+    those that hold one.
+    """
+    first = sorted({a for p in inside for a in range(max(0, p - n + 1), min(p, size - n) + 1)})
+    yield from ((a, a + n) for a in first)
+    after = ((a, bisect_left(inside, a + n)) for a in inside)
+    heap = [(inside[j] - a + 1, a, j) for a, j in after if j < len(inside)]  # the next window of each start
+    heapify(heap)
+    while heap:
+        width, a, j = heap[0]
+        yield a, a + width
+        if j + 1 < len(inside):
+            heapreplace(heap, (inside[j + 1] - a + 1, a, j + 1))
+        else:
+            heappop(heap)
+
+
 def _fuzzy(wanted: list[str], source: list[str], threshold: float) -> tuple[int, int] | None:
     """The window of the source that holds the largest share of the wanted tokens in order; the first and shortest on ties."""
     n, need = len(wanted), int(len(wanted) * threshold)
     goal = Counter(wanted)
-    best, where = 0.0, None
+    inside = [k for k, t in enumerate(source) if t in goal]
+    have = Counter(source[k] for k in inside)
+    most = sum(min(c, have[t]) for t, c in goal.items())
+    if n > len(source) or most < max(need, 1):
+        return None
+    best, where = 0, None
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(wanted)
-    for width in range(n, len(source) + 1):
-        window = Counter(source[:width])
-        for a in range(len(source) - width + 1):
-            if a:
-                window[source[a - 1]] -= 1
-                window[source[a + width - 1]] += 1
-            if sum(min(c, window[t]) for t, c in goal.items()) < need:
-                continue
-            matcher.set_seq1(source[a : a + width])
-            share = sum(m.size for m in matcher.get_matching_blocks()) / n
-            if share > best:
-                best, where = share, (a, a + width)
-        if best == 1.0:
-            break  # a wider window cannot be strictly better
-    return where if best >= threshold else None
-
-
-def align_texts(text: str, wanted: list[str], *, fuzzy: bool = True, threshold: float = THRESHOLD, accept_lesser: bool = True) -> list[tuple[str | None, int, int]]:
-    """(status, first token, end token) of every extraction text; status None if it is not found."""
-    toks = spans(text)
+    for a, b in _windows(inside, n, len(source)):
+        within = Counter(source[k] for k in inside[bisect_left(inside, a) : bisect_left(inside, b)])
+        if sum(min(c, within[t]) for t, c in goal.items()) < max(need, best + 1):
+            continue  # no window matches more than the tokens that it shares
+        matcher.set_seq1(source[a:b])
+        found = sum(m.size for m in matcher.get_matching_blocks())
+        if found > best:
+            best, where = found, (a, b)
+            if best == most:
+                break
+    return where if best >= threshold * n else None
+
+
+def _blocks(source: list[str], goal: list[str]):
+    """difflib's matching blocks of two token lists. Runs of source tokens that the goal lacks are one token while they are matched."""
+    known, short, at = set(goal), [], []
+    for k, t in enumerate(source):
+        if t in known:
+            short.append(t)
+            at.append(k)
+        elif not short or short[-1] is not None:
+            short.append(None)
+            at.append(k)
+    for m in SequenceMatcher(None, short, goal, autojunk=False).get_matching_blocks():
+        if m.size:
+            yield at[m.a], m.b, m.size
+
+
+def align_texts(text: str, wanted: list[str], *, fuzzy: bool = True, threshold: float = THRESHOLD, accept_lesser: bool = True, toks: list | None = None) -> list[tuple[str | None, int, int]]:
+    """(status, first token, end token) of every extraction text; status None if it is not found. ``toks``: the text's spans, if they are known."""
+    toks = spans(text) if toks is None else toks
     source = [t[2].lower() for t in toks]
     goal, starts = [], {}
     sizes = []
     for k, w in enumerate(wanted):
         if DELIMITER in w:
             raise ValueError("an extraction holds the delimiter")
-        own = [t[2].lower() for t in spans(w)]
+        own = [t.lower() for t in words(w)]
         if goal:
             goal.append(DELIMITER)
         starts[len(goal)] = k
@@ -69,19 +109,19 @@ def align_texts(text: str, wanted: list[str], *, fuzzy: bool = True, threshold:
     if not any(sizes):
         raise ValueError("no extraction has a token")
     out: list[tuple[str | None, int, int]] = [(None, 0, 0)] * len(wanted)
-    for i, j, n in SequenceMatcher(None, source, goal, autojunk=False).get_matching_blocks():
+    for i, j, n in _blocks(source, goal):
         k = starts.get(j)
-        if not n or k is None or not sizes[k]:
+        if k is None or not sizes[k]:
             continue
         if n == sizes[k]:
             out[k] = ("match_exact", i, i + n)
         elif accept_lesser and n < sizes[k]:
             out[k] = ("match_lesser", i, i + n)
-    if fuzzy:
+    if fuzzy and any(o[0] is None and n for o, n in zip(out, sizes)):
         plain = [_light(t) for t in source]
         for k, w in enumerate(wanted):
             if out[k][0] is None and sizes[k]:
-                hit = _fuzzy([_light(t[2]) for t in spans(w)], plain, threshold)
+                hit = _fuzzy([_light(t) for t in words(w)], plain, threshold)
                 if hit:
                     out[k] = ("match_fuzzy", *hit)
     return out
@@ -97,7 +137,7 @@ def align(rows: DataFrame, text_col: str, wanted_col: str, *, tok_offset: str |
             w = [x or "" for x in (w if w is not None else [])]
             toks = spans(t)
             try:
-                found = align_texts(t or "", w, **options) if w else []
+                found = align_texts(t or "", w, toks=toks, **options) if w else []
             except ValueError:
                 found = [(None, 0, 0)] * len(w)
             out.append([{"ord": k, "status": s, "tok_start": a if s else None, "tok_end": b if s else None, "char_start": toks[a][3] if s else None, "char_end": toks[b - 1][4] if s else None} for k, (s, a, b) in enumerate(found)])

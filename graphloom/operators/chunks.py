@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ABBREVIATIONS, strip
+from ..session import materialise
 
 _token = re.compile(r"[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+|[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+")
 SPANS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("idx", T.IntegerType()), ("type", T.StringType()), ("token", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("nl", T.BooleanType()))]))
@@ -40,6 +41,11 @@ def spans(text: str | None) -> list[tuple[int, str, str, int, int, bool]]:
     return out
 
 
+def words(text: str | None) -> list[str]:
+    """The tokens alone."""
+    return _token.findall(text or "")
+
+
 @F.pandas_udf(SPANS)
 def token_spans(text: pd.Series) -> pd.Series:
     """Tokens with code-point spans; nl tells of a line break before a token."""
@@ -146,14 +152,20 @@ def batches(chunks: DataFrame, size: int, *order: str) -> DataFrame:
 
 
 def with_places(rows: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Rows with their place (from 0) in a total order, by partition counts instead of one global window."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    n = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.join(before, "_part").withColumn(out, place + F.col("_before")).drop("_part", "_before")
+    """Rows with their place (from 0) in a total order.
+
+    Rows are ranged and sorted once and written with the number of their range
+    and their place in it; the sizes of the ranges, a row each, make places of
+    the whole. No task sees all rows, and both readings see the same ranges.
+    """
+    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    stored = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "places")
+    part = F.shiftrightunsigned("_at", 33)
+    n = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select("_part", before.alias("_before"))
+    placed = stored.withColumn("_part", part).join(F.broadcast(n), "_part")  # a row a range
+    return placed.withColumn(out, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_part", "_before", "_at")
 
 
 def duplicate_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import fused_id
 from ..functions.similarity import length_bound, name_similarity, ratio_udf
 from ..functions.text import entity_name
+from ..session import materialise
 
 #: Properties that tell entities of one name apart, by type; fixed values.
 DISAMBIGUATORS = {
@@ -22,26 +23,46 @@ DISAMBIGUATORS = {
 OTHER_DISAMBIGUATORS = ["类型", "分类", "类别"]
 
 
+def _without_one(name: str) -> Column:
+    """A name, and the name less each of its characters."""
+    c = F.col(name)
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c))))))
+
+
+def _best(pairs: DataFrame, threshold: float) -> DataFrame:
+    """target, name, score of the best of each target's pairs (target, name, ord)."""
+    spread = pairs.repartition(F.xxhash64("target", "name"))  # a few targets may have most of the pairs
+    scored = spread.withColumn("score", ratio_udf("target", "name")).filter(F.col("score") >= threshold)
+    return scored.groupBy("target").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("target", "b.*")
+
+
 def best_match(targets: DataFrame, candidates: DataFrame, threshold: float = 0.9) -> DataFrame:
     """target, name, score: each target's most similar candidate (the first on ties) from ``threshold`` on.
 
-    Only candidates of a length that can reach the threshold are compared: the
-    join runs on lengths, as an equality, over the lengths that a target allows,
-    and the edit distance, an exact bound, leaves fewer pairs to Python. A target
-    that is a candidate itself is its own best match and meets no other.
+    A target that is a candidate itself is its own best match and meets no
+    other. Others first meet the candidates from which they differ by one
+    character at most on either side, by an equality join of names less one
+    character. A target of n characters whose best score there is over
+    n / (n + 1) is settled, since no other candidate can reach that. Only the
+    rest meet all candidates of a length that can reach the threshold, less
+    those that the edit distance, an exact bound, rules out.
     """
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    span = F.sequence(F.floor(F.length("target") * low).cast("int"), F.ceil(F.length("target") * high).cast("int"))
     every = targets.select("target").distinct()
-    same = every.join(candidates.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select("target", F.col("target").alias("name"), F.lit(1.0).alias("score"))
-    t = every.join(candidates.select(F.col("name").alias("target")).distinct(), "target", "left_anti").withColumn("_n", F.explode(span))
-    c = candidates.groupBy("name").agg(F.min("ord").alias("ord")).withColumn("_n", F.length("name"))
-    near = t.join(c, "_n").filter(length_bound(F.col("target"), F.col("name")) >= threshold)
+    known = candidates.select(F.col("name").alias("target")).distinct()
+    same = every.join(known, "target", "left_semi").select("target", F.col("target").alias("name"), F.lit(1.0).alias("score"))
+    t = every.join(known, "target", "left_anti")
+    c = candidates.groupBy("name").agg(F.min("ord").alias("ord"))
+    short = t.select("target", F.explode(_without_one("target")).alias("_v")).join(c.select("name", "ord", F.explode(_without_one("name")).alias("_v")), "_v")
+    close = materialise(_best(short.select("target", "name", "ord").distinct(), threshold), "fuzzy-close")
+    n = F.length("target")
+    settled = close.filter(F.col("score") > n / (n + 1))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    span = F.sequence(F.floor(n * low).cast("int"), F.ceil(n * high).cast("int"))
+    open_ = t.join(settled.select("target"), "target", "left_anti").withColumn("_n", F.explode(span))
+    near = open_.join(c.withColumn("_n", F.length("name")), "_n").filter(length_bound(F.col("target"), F.col("name")) >= threshold)
     # matching blocks leave (1 - ratio) of the characters unmatched, and these edits turn one name into the other
     near = near.filter(F.levenshtein("target", "name") <= (1 - threshold) * (F.length("target") + F.length("name")) + 1e-9)
-    near = near.repartition(F.xxhash64("target", "name"))  # names of one length may be most of them
-    scored = near.withColumn("score", ratio_udf("target", "name")).filter(F.col("score") >= threshold)
-    return scored.groupBy("target").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("target", "b.*").unionByName(same)
+    return same.unionByName(settled).unionByName(_best(near.select("target", "name", "ord"), threshold))
 
 
 def disambiguator(type_: Column, props: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import first_filled
+from .client import wait_after
 
 Model = Callable[[list[str]], list[str]]
 
@@ -61,7 +62,7 @@ def route(text: Column, threshold: int = 3000) -> Column:
 
 
 def infer(rows: DataFrame, model: Model, prompt_col: str = "prompt", out_col: str = "answer", *, batch: int = 16, retries: int = 3, wait: float = 0.0) -> DataFrame:
-    """Every row with the model's answer and ``error`` (null if none). Order and rows are kept; a batch that fails is tried again, then row by row."""
+    """Every row with the model's answer and ``error`` (null if none). Order and rows are kept; a batch that fails is tried again, then row by row; ``wait`` seconds before the second attempt, then twice as long each time, and longer if the service limits rates."""
     schema = f"{rows.select('*').schema.simpleString()[7:-1]},{out_col}:string,error:string"
 
     def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
@@ -70,7 +71,8 @@ def infer(rows: DataFrame, model: Model, prompt_col: str = "prompt", out_col: st
                 return [(a, None) for a in model(prompts)]
             except Exception as e:
                 problem = str(e)
-                time.sleep(wait * 2**k)
+                if wait and k + 1 < retries:
+                    time.sleep(wait_after(k, problem, wait))
         if len(prompts) == 1:
             return [(None, problem)]
         return [answers([p])[0] for p in prompts]
@@ -132,6 +134,29 @@ def unfence(answer: Column, fmt: str = "json") -> Column:
     return F.when(inner != "", inner).otherwise(answer)
 
 
+def _json_of_yaml(answer: str | None) -> str | None:
+    import yaml
+
+    try:
+        return None if answer is None else json.dumps(yaml.safe_load(answer), ensure_ascii=False, default=str)
+    except (yaml.YAMLError, ValueError, TypeError):
+        return None
+
+
+def as_json(answer: Column, fmt: str = "json") -> Column:
+    """An answer as plain JSON: fences gone, YAML turned into JSON (null if it is not YAML)."""
+    if fmt == "json":
+        return unfence(answer)
+    if fmt != "yaml":
+        raise ValueError("answers are JSON or YAML")
+
+    @F.pandas_udf("string")
+    def turned(x: pd.Series) -> pd.Series:
+        return pd.Series([_json_of_yaml(v) for v in x], dtype=object)
+
+    return turned(unfence(answer, "yaml"))
+
+
 def parse(answer: Column) -> Column:
     """array<map<string,string>> of the groups; null if the answer is not an object with a list of objects as ``extractions``."""
     return F.from_json(answer, "extractions array<map<string,string>>")["extractions"]

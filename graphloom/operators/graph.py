@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.text import property_name, relation_name
 from .chunks import with_places
-from .merge import fold_maps
+from .merge import gathered
 
 NODE_KEY = ["graph_tag", "node_id"]
 EDGE_KEY = ["graph_tag", "source_id", "relation_type", "target_id"]
@@ -35,12 +35,6 @@ def append_if_absent(items: Column, x: Column) -> Column:
     return F.when(items.isNull(), F.array(x)).when(F.array_contains(items, x), items).otherwise(F.array_append(items, x))
 
 
-def _union_arrays(c: str) -> Column:
-    """Aggregate: all elements, in the order of the rows' ``_o``, each once."""
-    items = F.array_sort(F.collect_list(F.struct("_o", F.coalesce(F.col(c), F.array().cast("array<string>")).alias("a"))))
-    return F.array_distinct(F.flatten(F.transform(items, lambda x: x["a"])))
-
-
 def _upsert(existing: DataFrame, incoming: DataFrame, key: list[str], mode: str, order: str) -> DataFrame:
     """Rows of ``existing`` and ``incoming`` (with an order column) by key."""
     cols = existing.columns
@@ -50,12 +44,9 @@ def _upsert(existing: DataFrame, incoming: DataFrame, key: list[str], mode: str,
         return existing.unionByName(new.join(existing.select(*key), key, "left_anti").select(*cols))
     place = lambda known, o: F.struct(F.lit(known).alias("new"), o.cast(incoming.schema[order].dataType).alias("o"))  # noqa: E731  what exists comes first
     both = existing.withColumn("_o", place(0, F.lit(None))).unionByName(incoming.withColumn("_o", place(1, F.col(order))).select(*cols, "_o"))
-    arrays = [c for c in ("filename", "graph_level") if c in cols]
-    scalars = [c for c in cols if c not in key and c not in arrays and c != "props"]
-    aggs = [F.max_by(F.struct(*scalars), "_o").alias("_s")] if scalars else []
-    aggs += [fold_maps("props", "_o").alias("props")] if "props" in cols else []
-    aggs += [_union_arrays(c).alias(c) for c in arrays]
-    return both.groupBy(*key).agg(*aggs).select("*", *(["_s.*"] if scalars else [])).select(*cols)
+    arrays = tuple(c for c in ("filename", "graph_level") if c in cols)
+    scalars = tuple(c for c in cols if c not in key and c not in arrays and c != "props")
+    return gathered(both, key, "_o", props="props" if "props" in cols else None, sets=arrays, last=scalars).select(*cols)
 
 
 def upsert_nodes(existing: DataFrame, incoming: DataFrame, mode: str = "create_only", order: str = "ord") -> DataFrame:

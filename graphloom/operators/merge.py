@@ -1,8 +1,9 @@
 """Merging of entities, nodes and relations under first-wins and last-wins rules.
 
-Maps are merged as sorted folds inside one aggregation: entries are collected
-as (order, map) structs, sorted, and folded by ``map_concat`` under the
-LAST_WIN policy. ``exploded`` forms, for wide data, aggregate each key apart.
+Rows of one key may be most of all rows, so no rule collects them. Maps and sets
+are taken apart, each entry is aggregated by itself, with partial aggregation in
+every task, and what is put together at last has no more entries than the
+merged value (:func:`gathered`).
 """
 
 from __future__ import annotations
@@ -10,13 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_TEXT = "string"
 
-def fold_maps(props: str, order: str, last_wins: bool = True) -> Column:
-    """Aggregate: one map of all maps, in the order of ``order``; null maps are skipped."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(props).alias("p"))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
-    empty = F.create_map().cast("map<string,string>")
-    join = (lambda acc, x: F.map_concat(acc, x)) if last_wins else (lambda acc, x: F.map_concat(x, acc))
-    return F.aggregate(items, empty, lambda acc, x: F.when(x["p"].isNull(), acc).otherwise(join(acc, x["p"])))
+
+def _entry(kind: str, name: Column, value: Column, place: Column) -> Column:
+    return F.struct(F.lit(kind).alias("_kind"), name.cast(_TEXT).alias("_name"), value.cast(_TEXT).alias("_value"), place.cast("int").alias("_place"))
+
+
+def gathered(rows: DataFrame, keys: list[str], order: str, *, first: bool = False, props: str | None = "props", sets: tuple[str, ...] = (), last: tuple[str, ...] = (), said: Column | None = None) -> DataFrame:
+    """One row a key: ``ord``, the least order; ``props``, a map of all maps in which the last value of a name wins (the first, if ``first``); ``sets``, array columns united in the order of first sight; ``last``, the columns of the last row, nulls included; ``_said``, the last value of ``said`` that is not null."""
+    empty = F.array().cast("array<struct<_kind:string,_name:string,_value:string,_place:int>>")
+    lists = [F.array(_entry("row", F.lit(None), F.lit(None), F.lit(0)))]
+    if props:
+        lists.append(F.coalesce(F.transform(F.map_entries(props), lambda e: _entry("props", e["key"], e["value"], F.lit(0))), empty))
+    placed = lambda c: F.transform(F.col(c), lambda x, i: _entry(c, x, F.lit(None), i))
+    lists += [F.coalesce(placed(c), empty) for c in sets]
+    carried = [F.col(order).alias("_o"), (F.struct(*last) if last else F.lit(None).cast(_TEXT)).alias("_last"), (said if said is not None else F.lit(None).cast(_TEXT)).alias("_text")]
+    long = rows.select(*keys, *carried, F.explode(F.concat(*lists)).alias("_e")).select(*keys, "_o", "_last", "_text", "_e.*")
+    pick = F.min_by if first else F.max_by
+    spoken = F.when(F.col("_text").isNotNull(), F.col("_o"))
+    one = long.groupBy(*keys, "_kind", "_name").agg(
+        pick(F.struct("_value"), "_o").alias("_v"), F.min(F.struct("_o", "_place")).alias("_seen"), F.min("_o").alias("_least"), F.max("_o").alias("_most"), F.max_by("_last", "_o").alias("_last"), F.max_by("_text", spoken).alias("_text"), F.max(spoken).alias("_spoken")
+    )
+    entries = F.collect_list(F.struct("_kind", "_seen", "_name", F.col("_v._value").alias("_value")))
+    of = lambda kind: F.filter("_all", lambda e: e["_kind"] == kind)
+    out = one.groupBy(*keys).agg(F.min("_least").alias("ord"), F.array_sort(entries).alias("_all"), F.max_by("_last", "_most").alias("_last"), F.max_by("_text", "_spoken").alias("_said"))
+    made = [F.map_from_entries(F.transform(of("props"), lambda e: F.struct(e["_name"], e["_value"]))).alias("props")] if props else []
+    made += [F.transform(of(c), lambda e: e["_name"]).alias(c) for c in sets]
+    return out.select(*keys, "ord", *([F.col("_last")[c].alias(c) for c in last]), *made, "_said")
 
 
 def without_nulls(props: Column) -> Column:
@@ -32,7 +54,7 @@ def exploded_winner(rows: DataFrame, keys: list[str], props: str, order: str, la
 
 def merge_entities(rows: DataFrame, order: str = "ord") -> DataFrame:
     """name, type, props (first wins; a present null blocks) of extraction entities, in the order of first sight."""
-    return rows.groupBy("name", "type").agg(F.min(order).alias("ord"), fold_maps("props", order, last_wins=False).alias("props"))
+    return gathered(rows, ["name", "type"], order, first=True).select("name", "type", "ord", "props")
 
 
 def distinct_relations(rows: DataFrame, keys=("source", "type", "target"), order: str = "ord") -> DataFrame:
@@ -44,9 +66,9 @@ def distinct_relations(rows: DataFrame, keys=("source", "type", "target"), order
 def build_nodes(rows: DataFrame, order: str = "ord") -> DataFrame:
     """node_id, node_name, node_type, description, props: nulls pruned, last wins, the last description that is not empty."""
     said = F.when(F.coalesce("description", F.lit("")) != "", F.col("description"))
-    made = rows.withColumn("props", without_nulls(F.col("props"))).withColumn("_said", said)
-    out = made.groupBy(F.col("name").alias("node_name"), F.col("type").alias("node_type")).agg(F.min(order).alias("ord"), fold_maps("props", order).alias("props"), F.max_by("_said", F.when(F.col("_said").isNotNull(), F.col(order))).alias("description"))
-    return out.withColumn("node_id", F.concat_ws("_", "node_type", "node_name"))
+    made = rows.withColumn("props", without_nulls(F.col("props")))
+    out = gathered(made, ["name", "type"], order, said=said)
+    return out.select(F.col("name").alias("node_name"), F.col("type").alias("node_type"), "ord", "props", F.col("_said").alias("description"), F.concat_ws("_", "type", "name").alias("node_id"))
 
 
 def resolve_endpoints(relations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,13 +95,14 @@ def build_edges(relations: DataFrame, nodes: DataFrame, order: str = "ord") -> D
 
 def merge_nodes_across(rows: DataFrame, order: str = "ord") -> DataFrame:
     """Nodes of several files by node_id: scalars of the last file, nulls included; properties last wins; file names united."""
-    scalars = F.max_by(F.struct("node_name", "node_type", "description"), order)
-    return rows.groupBy("node_id").agg(scalars.alias("_s"), fold_maps("props", order).alias("props"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("filename")))).alias("filename")).select("node_id", "_s.*", "props", "filename")
+    out = gathered(rows, ["node_id"], order, last=("node_name", "node_type", "description"), sets=("filename",))
+    return out.select("node_id", "node_name", "node_type", "description", "props", F.sort_array("filename").alias("filename"))
 
 
 def merge_edges_across(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """Edges of several files: scalars of the last file, properties last wins."""
     keys = ["source_id", "target_id", "relation_type"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct("weight", "bidirectional"), order).alias("_s"), fold_maps("props", order).alias("props")).select(*keys, "_s.*", "props")
+    return gathered(rows, keys, order, last=("weight", "bidirectional")).select(*keys, "weight", "bidirectional", "props")
 
 
 # relations that name typed entities

@@ -147,11 +147,10 @@ def subgraph_stats(spark, sf):
     return graph.statistics(nodes(spark, sf), edges(spark, sf))
 
 
-@query(f"""WITH {GRAPH} SELECT graph_tag, s.node_name AS source_name, relation_type, t.node_name AS target_name FROM edges e
-JOIN nodes s USING (graph_tag) JOIN nodes t USING (graph_tag) WHERE e.source_id = s.node_id AND e.target_id = t.node_id AND graph_tag <> 'kg'""")
+@query(f"""WITH {GRAPH} SELECT e.graph_tag, s.node_name AS source_name, relation_type, t.node_name AS target_name FROM edges e
+JOIN nodes s ON s.graph_tag = e.graph_tag AND s.node_id = e.source_id JOIN nodes t ON t.graph_tag = e.graph_tag AND t.node_id = e.target_id""")
 def pattern_edges(spark, sf):
-    p = graph.patterns(nodes(spark, sf).filter("graph_tag <> 'kg'"), edges(spark, sf).filter("graph_tag <> 'kg'"))
-    return p.select("graph_tag", "source_name", "relation_type", "target_name")
+    return graph.patterns(nodes(spark, sf), edges(spark, sf)).select("graph_tag", "source_name", "relation_type", "target_name")
 
 
 @query(f"WITH {GRAPH} SELECT source_id, relation_type, target_id FROM edges WHERE graph_tag = 'task_machinery' ORDER BY 1, 2, 3 LIMIT 50")
@@ -160,9 +159,11 @@ def viz_sample(spark, sf):
 
 
 @query(f"""WITH {GRAPH}, e AS (SELECT source_id, relation_type, target_id FROM edges WHERE graph_tag = 'task_machinery' ORDER BY 1, 2, 3 LIMIT 50)
-SELECT node_id, node_name, node_type FROM nodes WHERE graph_tag = 'task_machinery' AND node_id IN (SELECT source_id FROM e UNION SELECT target_id FROM e)""")
+SELECT node_id, node_name, node_type, CASE node_type WHEN 'customer' THEN 'nation,segment' ELSE 'code' END AS shown FROM nodes WHERE graph_tag = 'task_machinery' AND node_id IN (SELECT source_id FROM e UNION SELECT target_id FROM e)""")
 def viz_nodes(spark, sf):
-    return graph.shown_nodes(graph.sample(nodes(spark, sf), edges(spark, sf), "task_machinery", 50)[0]).select("node_id", "node_name", "node_type")
+    n = graph.sample(nodes(spark, sf), edges(spark, sf), "task_machinery", 50)[0]
+    n = n.withColumn("props", F.map_concat("props", F.create_map(F.lit("id"), F.lit("x"), F.lit("graph_tag"), F.lit("y"))))
+    return graph.shown_nodes(n).select("node_id", "node_name", "node_type", F.array_join(F.array_sort(F.map_keys("props")), ",").alias("shown"))
 
 
 @query(f"WITH {GRAPH} SELECT node_id, node_name FROM nodes WHERE graph_tag = 'kg' AND node_type = 'nation'")
@@ -210,7 +211,14 @@ def _typos(spark, sf):
     return c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.substr("c_name", F.lit(1), at), F.substr("c_name", at + 2))).otherwise(F.col("c_name")).alias("target"))
 
 
-@query()
+FUZZY_SQL = """WITH less AS (SELECT c_custkey, unnest(list_transform(range(1, length(c_name) + 1), lambda i: substr(c_name, 1, i - 1) || substr(c_name, i + 1))) AS v FROM customer),
+best AS (SELECT v, min(c_custkey) AS k FROM less GROUP BY v),
+t AS (SELECT c_custkey, c_name, substr(c_name, 1, c_custkey % 5 + 3) || substr(c_name, c_custkey % 5 + 5) AS target, length(c_name) AS n FROM customer)
+SELECT c_custkey, c_name AS target, c_name AS name, 1.0::DOUBLE AS score FROM t WHERE c_custkey % 3 <> 0
+UNION ALL SELECT t.c_custkey, t.target, c.c_name, round(2.0 * (t.n - 1) / (2 * t.n - 1), 6)::DOUBLE FROM t JOIN best ON best.v = t.target JOIN customer c ON c.c_custkey = best.k WHERE t.c_custkey % 3 = 0"""
+
+
+@query(FUZZY_SQL)
 def fuzzy_best_match(spark, sf):
     t = _typos(spark, sf)
     names = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"))
@@ -300,12 +308,12 @@ def field_whitelist(spark, sf):
     return out.select("node_id", F.size("props").alias("n_props"), F.col("props")["brand"].alias("brand"))
 
 
-@query("SELECT 'part' AS type, 'brand (STRING): of ' || p_brand || '|kind (STRING): ' AS attributes FROM part WHERE p_partkey = 1")
+@query("SELECT 'part ' || p_partkey AS type, 'brand (STRING): of ' || p_brand || '|kind (STRING): ' AS attributes FROM part")
 def entity_schema(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey = 1")
+    p = table(spark, sf, "part")
     field = lambda name, said, k: F.struct(F.lit(name).alias("name"), said.alias("description"), F.lit(k).alias("ord"))
     none = F.lit(None).cast("string")
-    rows = p.select(F.lit("part").alias("type"), F.explode(F.array(field("nodeId", none, 0), field("brand", F.concat(F.lit("of "), "p_brand"), 1), field("kind", none, 2))).alias("x")).select("type", "x.*", F.lit("STRING").alias("kind"))
+    rows = p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("type"), F.explode(F.array(field("nodeId", none, 0), field("brand", F.concat(F.lit("of "), "p_brand"), 1), field("kind", none, 2))).alias("x")).select("type", "x.*", F.lit("STRING").alias("kind"))
     return merge.entity_schema(rows).select("type", F.array_join("attributes", "|").alias("attributes"))
 
 

@@ -67,9 +67,9 @@ def task_status_guard(spark, sf):
     return catalog.live(tasks(spark, sf)).select("id", catalog.can_delete(F.col("status")).alias("can_delete"), catalog.can_merge(F.col("status")).alias("can_merge"))
 
 
-@query(f"WITH {FILES}, p AS (SELECT * FROM files WHERE task_id % 100 = 1 ORDER BY id LIMIT 10 OFFSET 10) SELECT id, filename, (SELECT count(*) FROM p) AS page_total, (SELECT count(*) FROM files WHERE task_id % 100 = 1) AS total FROM p")
+@query(f"WITH {FILES}, p AS (SELECT * FROM files ORDER BY id LIMIT 10 OFFSET 10) SELECT id, filename, (SELECT count(*) FROM p) AS page_total, (SELECT count(*) FROM files) AS total FROM p")
 def file_page_local_total(spark, sf):
-    f = files(spark, sf).filter("task_id % 100 = 1")
+    f = files(spark, sf)
     p = catalog.page(f, 2, 10)
     n = p.agg(F.count("*").alias("page_total")).join(f.agg(F.count("*").alias("total")))  # one row each
     return p.select("id", "filename").join(n)
@@ -124,9 +124,11 @@ def snowflake_parse(spark, sf):
 SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (regexp_full_match(tok, '[0-9]+')) AS n_numbers,
   count(*) FILTER (regexp_full_match(tok, '[A-Za-z0-9]+(/[A-Za-z0-9]+)+')) AS n_acronyms, count(*) FILTER (regexp_full_match(tok, '[A-Za-z]+')) AS n_words FROM t GROUP BY doc_id""")
 def token_types(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    n = lambda kind: F.size(F.filter("t", lambda x: text.token_type(x) == kind)).cast("long")
-    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), n("NUMBER").alias("n_numbers"), n("ACRONYM").alias("n_acronyms"), n("WORD").alias("n_words"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    n = text.token_counts(F.col("text"))
+    d = d.select("doc_id", *[c.alias(f"n_{k.lower()}s") for k, c in n.items()])
+    total = F.col("n_acronyms") + F.col("n_numbers") + F.col("n_words") + F.col("n_punctuations")
+    return d.select("doc_id", total.alias("n_tokens"), "n_numbers", "n_acronyms", "n_words").filter("n_tokens > 0")
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]*[\\n\\r][{WS}]*')) AS n_after_newline FROM documents")
@@ -143,13 +145,22 @@ def text_stats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in s.items()])
 
 
-@query()
+#: Tokens with what stands before them, numbered; then whether a sentence ends after each.
+SENTENCES_SQL = rf"""items AS (SELECT doc_id, regexp_extract_all(text, '[{WS}]*(?:{TOKEN_SQL})') AS l FROM documents WHERE text IS NOT NULL),
+toks AS (SELECT doc_id, unnest(l) AS m, generate_subscripts(l, 1) AS k, len(l) AS n FROM items),
+cut AS (SELECT *, regexp_replace(m, '^[{WS}]+', '') AS tok FROM toks),
+near AS (SELECT *, lag(tok, 1, '') OVER w AS before, lead(tok) OVER w AS after, lead(m) OVER w AS after_m FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+ends AS (SELECT *, regexp_full_match(tok, '[^A-Za-z0-9]+') AND right(tok, 1) IN ('.', '?', '!') AND before || tok NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.')
+  OR coalesce(contains(left(after_m, length(after_m) - length(after)), chr(10)) AND upper(left(after, 1)) = left(after, 1) AND lower(left(after, 1)) <> left(after, 1), false) AS stop FROM near)"""
+
+
+@query(f"WITH {SENTENCES_SQL}, c AS (SELECT doc_id, count(*) FILTER (stop OR k = n) AS n FROM ends GROUP BY doc_id) SELECT doc_id, coalesce(c.n, 0) AS n_sentences FROM documents LEFT JOIN c USING (doc_id)")
 def sentence_count(spark, sf):
     @F.pandas_udf("long")
     def n(x):
         import pandas as pd
 
-        return pd.Series([len(chunks.sentence_ends(t, chunks.spans(t))) for t in x])
+        return pd.Series([len(chunks.sentence_ends(t or "", chunks.spans(t))) for t in x])
 
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", n("text").alias("n_sentences"))
 
@@ -160,9 +171,18 @@ def sentence_chunks(spark, sf):
     return c.select("doc_id", "chunk_id", "tok_start", "tok_end", "char_start", "char_end", F.md5("text").alias("digest"))
 
 
-@query()
+STRIP_SQL = f"regexp_replace(%s, '^[{WS}]+|[{WS}]+$', '', 'g')"
+PARAGRAPHS_SQL = f"""list_reduce(list_transform(string_split(t, chr(10) || chr(10)), lambda p: {{'done': []::VARCHAR[], 'cur': p}}),
+  lambda acc, x: CASE WHEN length(acc.cur) + length(x.cur) > 5000 AND acc.cur <> '' THEN {{'done': list_append(acc.done, {STRIP_SQL % 'acc.cur'}), 'cur': CASE WHEN length(acc.cur) > 500 THEN right(acc.cur, 500) ELSE acc.cur END || chr(10) || chr(10) || x.cur || chr(10) || chr(10)}}
+    ELSE {{'done': acc.done, 'cur': acc.cur || x.cur || chr(10) || chr(10)}} END, {{'done': []::VARCHAR[], 'cur': ''}})"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, {PARAGRAPHS_SQL} AS r FROM d),
+l AS (SELECT doc_id, list_concat(r.done, CASE WHEN {STRIP_SQL % 'r.cur'} = '' THEN []::VARCHAR[] ELSE [{STRIP_SQL % 'r.cur'}] END) AS l FROM r),
+c AS (SELECT doc_id, unnest(l) AS chunk, generate_subscripts(l, 1) - 1 AS chunk_id FROM l) SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS digest FROM c""")
 def paragraph_chunks(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunks.paragraph_chunks(F.col("text"), 5000, 500, "\n")).alias("chunk_id", "chunk"))
+    d = spread(table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    d = d.select("doc_id", F.posexplode(chunks.paragraph_chunks(F.col("text"))).alias("chunk_id", "chunk"))
     return d.select("doc_id", "chunk_id", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
@@ -215,14 +235,13 @@ def sanitise_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.property_name(raw).alias("property"), text.match_name(raw).alias("matching"), text.relation_name(raw).alias("relation"), text.safe_filename(raw).alias("filename"))
 
 
-@query("SELECT s_suppkey, lower(regexp_replace(s_name, '#', '')) AS plain, regexp_replace(s_name, '[# ]', '', 'g') || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '大' END AS company FROM supplier")
+@query("""WITH n AS (SELECT s_suppkey, regexp_replace(s_name, '#', '') AS bare FROM supplier), k AS (SELECT *, bare || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '大' END AS company FROM n)
+SELECT s_suppkey, lower(bare) AS plain, CASE WHEN regexp_full_match(company, '[A-Za-z0-9]+') THEN lower(company) ELSE company END AS company FROM k""")
 def normalize_entity_name(spark, sf):
     s = table(spark, sf, "supplier")
     bare = F.regexp_replace("s_name", "#", "")
     name = F.concat(F.lit(" 《"), bare, F.when(F.col("s_suppkey") % 2 == 0, "》有限公司").otherwise("》大集团"))
-    got = text.entity_name(name, F.lit("公司"))
-    # the ASCII names lose their case, so the comparison restores the supplier's spelling
-    return s.select("s_suppkey", text.entity_name(bare, F.lit("x")).alias("plain"), F.when(got == F.lower(bare), bare).otherwise(got).alias("company"))
+    return s.select("s_suppkey", text.entity_name(bare, F.lit("x")).alias("plain"), text.entity_name(name, F.lit("公司")).alias("company"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[{WS}]+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[^{WS}]')")
@@ -230,9 +249,15 @@ def whitespace_sanitize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.one_line(F.col("text")).alias("t")).filter("t is not null").select("doc_id", F.md5("t").alias("digest"))
 
 
-@query("SELECT conv_id, turn, length('Find names.' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: ') AS n FROM conversations")
-def render_prompt_length(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.length(extract.prompt(F.col("text"), "Find names.")).cast("long").alias("n"))
+SHOTS = [{"text": "Ada sleeps.", "extractions": [{"class": "Name", "text": "Ada", "attributes": {"role": "é"}}]}, {"text": " ", "extractions": []}]
+PROMPT_SQL = """'Find names.' || chr(10) || chr(10) || 'role ' || role || chr(10) || chr(10) || 'Examples' || chr(10) || 'Q: Ada sleeps.' || chr(10) || 'A: {' || chr(10) || '  "extractions": [' || chr(10) || '    {' || chr(10) || '      "Name": "Ada",' || chr(10)
+  || '      "Name_attributes": {' || chr(10) || '        "role": "' || chr(92) || 'u00e9"' || chr(10) || '      }' || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: '"""
+
+
+@query(f"SELECT conv_id, turn, md5({PROMPT_SQL}) AS digest, md5('Find names.' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: ') AS bare_digest FROM conversations")
+def render_prompt(spark, sf):
+    full = extract.prompt(F.col("text"), "Find names.", SHOTS, F.concat(F.lit("role "), "role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(full).alias("digest"), F.md5(extract.prompt(F.col("text"), "Find names.")).alias("bare_digest"))
 
 
 def _bad_answers(spark, sf):
@@ -266,6 +291,45 @@ def unnest_indexed(spark, sf):
     return extract.unnest(a, "answer", ["event_id"], index_suffix="_index").select("event_id", "extraction_index", "text")
 
 
+def _fenced(spark, sf):
+    """Answers as models give them: plain, fenced with words around, as YAML, and with an open fence only."""
+    k = F.col("event_id") % 4
+    body = F.concat(F.lit('{"extractions": [{"event": "'), F.col("event_type"), F.lit('", "event_attributes": {"user": "'), F.col("user_id").cast("string"), F.lit('"}}]}'))
+    yaml = F.concat(F.lit("Here it is:\n```yaml\nextractions:\n- event: "), F.col("event_type"), F.lit("\n  event_attributes:\n    user: '"), F.col("user_id").cast("string"), F.lit("'\n```"))
+    answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Sure!\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, yaml).otherwise(F.concat(F.lit("```json\n"), body))
+    return table(spark, sf, "events").select("event_id", (k == 2).alias("yaml"), answer.alias("answer"))
+
+
+@query("SELECT event_id, event_type AS text, CAST(user_id AS VARCHAR) AS user FROM events WHERE event_id % 4 <> 3")
+def answers_unfenced(spark, sf):
+    rows = _fenced(spark, sf)
+    plain = rows.filter("not yaml").withColumn("answer", extract.as_json(F.col("answer"))).unionByName(rows.filter("yaml").withColumn("answer", extract.as_json(F.col("answer"), "yaml")))
+    good = plain.filter(extract.fault(F.col("answer")).isNull())
+    return extract.unnest(good, "answer", ["event_id"]).select("event_id", "text", F.col("attributes")["user"].alias("user"))
+
+
+def _notes(spark, sf):
+    """A short text for every customer: nobody, one name, or two names in a sentence."""
+    name = lambda c: F.initcap(F.regexp_replace(c, " ", ""))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, "nobody was seen").when(k == 1, F.concat(F.lit("we saw "), name("r_name"))).otherwise(F.concat(name("c_mktsegment"), F.lit(" lies in "), name("r_name"), F.lit(".")))
+    return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+@query("""WITH f AS (SELECT c_custkey % 3 AS k, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS n, upper(left(replace(r_name, ' ', ''), 1)) || lower(substr(replace(r_name, ' ', ''), 2)) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT 'Name_' || n AS source_id, 'near' AS relation_type, 'Name_' || r AS target_id FROM f WHERE k = 2""")
+def two_step_edges(spark, sf):
+    found = extraction.answers(_notes(spark, sf), extract.RuleModel(), "Find names.", relation_description="Find relations.")
+    return extraction.graph_of(found)[1].select("source_id", "relation_type", "target_id")
+
+
+@query("SELECT CASE c_custkey % 3 WHEN 2 THEN 'relations' END AS step, count(*) AS n FROM customer WHERE c_custkey % 3 = 2 GROUP BY 1 UNION ALL SELECT 'entities', count(*) FROM customer WHERE c_custkey % 3 = 2")
+def two_step_calls(spark, sf):
+    found = extraction.answers(_notes(spark, sf), extract.RuleModel(), "Find names.", relation_description="Find relations.")
+    return found.groupBy("step").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_custkey, c_name AS source, 'in' AS type, CAST(c_nationkey AS VARCHAR) AS target FROM customer WHERE c_custkey % 5 <> 0")
 def relation_key_fallback(spark, sf):
     c = table(spark, sf, "customer")
@@ -313,13 +377,38 @@ def extraction_summary(spark, sf):
     return extract.unnest(built_answers(spark, sf), "answer", ["doc"]).groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"))
 
 
+def wanted_of(text):
+    """Phrases to look for in a chunk: its long words, each with the word after it, the first of them altered, and one that is absent."""
+    words = F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
+    pairs = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) > 8) & (i + 1 < F.size(words)), F.concat(w, F.lit(" "), F.get(words, i + 1)))), lambda p: p.isNotNull())
+    pairs = F.array_distinct(pairs)
+    altered = F.when(F.size(words) > 3, F.array(F.concat(F.get(words, F.lit(0)), F.lit("s "), F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3)), F.lit(" "), F.get(words, F.lit(1))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(pairs, altered, F.array(F.lit("absent phrase")))
+
+
 @query()
 def align_extractions(spark, sf):
     d = spread(table(spark, sf, "documents").filter("doc_id is not null").select("doc_id", "text"))
-    words = F.filter(F.split("text", r"[ \n]"), lambda w: F.length(w) > 6)
-    d = d.withColumn("wanted", F.slice(F.concat(words, F.array(F.lit("absent phrase"))), 1, 3))
-    a = align.align(d, "text", "wanted", fuzzy=False).select("doc_id", F.explode("aligned").alias("a"))
-    return a.select("doc_id", "a.ord", "a.status", "a.char_start", "a.char_end")
+    c = chunks.sentence_chunks(d, "text", 1000).withColumn("wanted", wanted_of(F.col("text")))
+    a = align.align(c, "text", "wanted", tok_offset="tok_start", char_offset="char_start").select("doc_id", "chunk_id", F.explode("aligned").alias("a"))
+    return a.select("doc_id", "chunk_id", "a.ord", "a.status", "a.char_start", "a.char_end")
+
+
+ALIGN_SQL = """WITH e AS (SELECT event_id, event_type AS t, CAST(user_id AS VARCHAR) AS u, event_id % 3 AS k FROM events), l AS (SELECT *, length(t) AS n, length(u) AS m FROM e)
+SELECT event_id, 0 AS ord, 'match_exact' AS status, 4 AS char_start, 4 + n + 7 AS char_end FROM l
+UNION ALL SELECT event_id, 1, CASE k WHEN 0 THEN 'match_exact' WHEN 1 THEN 'match_lesser' ELSE 'match_fuzzy' END, CASE WHEN k = 2 THEN 4 + n + 1 ELSE 4 + n + 11 END, CASE k WHEN 0 THEN 4 + n + 16 + m WHEN 1 THEN 4 + n + 15 ELSE 4 + n + 30 + m END FROM l
+UNION ALL SELECT event_id, 2, NULL, NULL, NULL FROM l"""
+
+
+@query(ALIGN_SQL)
+def align_statuses(spark, sf):
+    """The <type> signal of user <id> reached gates; wanted: two words as they are; the user, the user under a wrong number, or words with one between them missing; nothing that is there."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"))
+    text = F.concat(F.lit("The "), "event_type", F.lit(" signal of user "), "u", F.lit(" reached gates"))
+    k = F.col("event_id") % 3
+    second = F.when(k == 0, F.concat(F.lit("User "), "u")).when(k == 1, "user nobody").otherwise("signals of reached gate")
+    rows = e.select("event_id", text.alias("text"), F.array(F.concat("event_type", F.lit(" Signal")), second, F.lit("absent")).alias("wanted"))
+    return align.align(rows, "text", "wanted").select("event_id", F.explode("aligned").alias("a")).select("event_id", "a.ord", "a.status", "a.char_start", "a.char_end")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, CAST(event_id % 1000 AS INT) * 10 AS a FROM events), f AS (SELECT * FROM s WHERE event_id % 2 = 0)
@@ -340,14 +429,15 @@ def highlight_events(spark, sf):
     return align.boundary_events(s, ["user_id"], "a", "b").select("user_id", "event_id", "pos", "kind", "place")
 
 
-@query("SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_url, split_part(url, '/', 1) AS bucket FROM pages")
+@query("SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_url, split_part(url, '/', 1) AS bucket, substr(url, strpos(url, '/') + 1) AS key FROM pages")
 def url_and_bucket(spark, sf):
-    return table(spark, sf, "pages").select("page_id", readers.is_url(F.col("url")).alias("is_url"), readers.bucket_and_key(F.col("url"), "main")["bucket"].alias("bucket"))
+    at = readers.bucket_and_key(F.col("url"), "main")
+    return table(spark, sf, "pages").select("page_id", readers.is_url(F.col("url")).alias("is_url"), at["bucket"].alias("bucket"), at["key"].alias("key"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'ff' ELSE lang END AS decoded FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'ff' WHEN 1 THEN '中文' ELSE lang END AS decoded FROM documents")
 def decode_cascade(spark, sf):
-    raw = F.when(F.col("doc_id") % 3 == 2, F.unhex(F.lit("ff"))).otherwise(F.encode("lang", "utf-8"))
+    raw = F.when(F.col("doc_id") % 3 == 2, F.unhex(F.lit("ff"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("D6D0CEC4"))).otherwise(F.encode("lang", "utf-8"))
     return table(spark, sf, "documents").select("doc_id", readers.decode_cascade(raw).alias("decoded"))
 
 

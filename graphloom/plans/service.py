@@ -26,7 +26,7 @@ def run_task(docs: DataFrame, model: extract.Model, description: str, nodes: Dat
     new_n, new_e = _as_graph(got_n, got_e, tag, level, filename)
     all_n = graph.upsert_nodes(nodes, new_n, mode)
     all_e = graph.upsert_edges(edges, new_e, all_n, mode)
-    rejected = found.withColumn("fault", F.coalesce("error", extract.fault(F.col("answer")))).filter("fault is not null").select("doc", "chunk", "fault")
+    rejected = found.withColumn("fault", F.coalesce("error", extract.fault(extract.unfence(F.col("answer"))))).filter("fault is not null").select("doc", "chunk", "fault")
     return all_n, all_e, rejected
 
 
