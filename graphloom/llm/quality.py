@@ -5,17 +5,24 @@ towards the pooled ratio of their group (short texts say little) and
 transformed to stable variance. Each group of language and source gets a
 minimum-covariance-determinant estimate of centre and scatter: from two
 deterministic starts, concentration steps re-estimate both from the half of
-the rows with the smallest Mahalanobis distances, the lower determinant wins,
-and one reweighting step follows. Rows beyond the cutoff are rejected.
+the rows with the smallest Mahalanobis distances until the determinants stand
+still, the lower determinant wins, and one reweighting step follows. Rows beyond
+the cutoff are rejected.
+
+Every group, however small, has an estimate of its own. It leans on the estimate
+of its language as on ``PRIOR`` further rows, and that of a language leans on
+the medians and quartile ranges of all rows; in large groups these rows do not
+count, and there is no size at which the rule changes. Pooled ratios lean on
+each other in the same way.
 
 A step is one aggregation: distances fall into narrow bins, and every bin's
 count and moments are summed per group, so the half and its moments come from
 at most a few hundred rows per group, however many documents it has. The half
 is closed to the upper edge of its last bin, so ties are never split.
 
-Groups under ``least_rows`` rows are pooled by language, then all together. A
-null language or source is a group of its own. A null or empty text has no
-words and fails the base rules. Repeated rows count as often as they occur.
+A null language or source is a group of its own. A null or empty text has no
+words and fails the base rules. Repeated rows count as often as they occur. Rows
+at the very cutoff are kept.
 """
 
 from __future__ import annotations
@@ -58,7 +65,12 @@ CUTOFF = 31.83
 KEEP = 17.53
 #: Median of chi-squared with 8 degrees of freedom.
 MIDDLE = 7.344
-STEPS = 3
+#: Times that normal scatter is larger than that of its central half, and of its central 0.975 (eight dimensions).
+HALF, NEARLY_ALL = 1.625, 1.041
+#: Rows that a group's prior counts for, and documents' worth of pseudo-counts that a pooled ratio leans on.
+PRIOR = 100
+#: Concentration steps at most for both starts, and then for the better one; they end when no determinant moves by more than STILL (logarithm).
+STEPS, MORE_STEPS, STILL = 4, 6, 1e-4
 _BINS = 8  # per doubling of the squared distance
 
 _mix = np.random.default_rng(8).integers(1, 1 << 63, size=WINDOW, dtype=np.uint64) | np.uint64(1)
@@ -119,16 +131,6 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _group_of(rows: DataFrame, lang: str, source: str, least_rows: int) -> DataFrame:
-    """(_lang, _source, gid) with a small group's language, or everything, in its place."""
-    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias(n) for c, n in ((lang, "_lang"), (source, "_source"))]
-    n = rows.groupBy(*key).agg(F.count("*").alias("_n"))
-    small = F.when(F.col("_n") < least_rows, F.col("_n")).otherwise(0)
-    per_lang = n.groupBy("_lang").agg(F.sum(small).alias("_rest"))
-    full = F.to_json(F.struct("_lang", "_source"))
-    return n.join(per_lang, "_lang").select("_lang", "_source", F.when(F.col("_n") >= least_rows, full).when(F.col("_rest") >= least_rows, F.to_json(F.struct("_lang"))).otherwise(F.lit("{}")).alias("gid"))
-
-
 def _distance(x: list[str]) -> F.Column:
     """Squared Mahalanobis distance of columns ``x`` by columns ``m`` (centre) and ``w`` (inverse scatter, row by row)."""
     d = [F.col(c) - F.col("m")[k] for k, c in enumerate(x)]
@@ -141,13 +143,16 @@ def _distance(x: list[str]) -> F.Column:
 
 
 _FLOORS = np.diag([f * f for *_, f in STATS.values()])
-_PARAMS = "gid string, start int, m array<double>, w array<double>, logdet double"
+_PARAMS = "gid string, start int, m array<double>, c array<double>, w array<double>, logdet double"
 
 
-def _row(gid, start, n, s, ss, scale=1.0):
-    m = s / n
-    c = (ss / n - np.outer(m, m)) * scale + _FLOORS
-    return {"gid": gid, "start": start, "m": list(m), "w": list(np.linalg.inv(c).ravel()), "logdet": float(np.linalg.slogdet(c)[1])}
+def _row(gid, start, n, s, ss, m0, c0, shrink=1.0):
+    """Centre, scatter (without floors), inverse scatter and determinant of ``n`` rows with sums ``s`` and ``ss`` and of the prior's rows."""
+    total = n + PRIOR
+    m = (s + PRIOR * m0) / total
+    c = (ss + PRIOR * (c0 / shrink + np.outer(m0, m0))) / total - np.outer(m, m)
+    full = c + _FLOORS
+    return {"gid": gid, "start": start, "m": list(m), "c": list(c.ravel()), "w": list(np.linalg.inv(full).ravel()), "logdet": float(np.linalg.slogdet(full)[1])}
 
 
 def _unpack(f: pd.DataFrame):
@@ -159,16 +164,20 @@ def _unpack(f: pd.DataFrame):
     return f["n"].to_numpy(float), s, ss
 
 
+def _prior(f: pd.DataFrame, k: int = 0):
+    return np.array(f["m0"].iloc[k], dtype=float), np.array(f["c0"].iloc[k], dtype=float).reshape(P, P)
+
+
 def _moments(x):
     return [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}_{j}") for i in range(P) for j in range(i + 1)]]
 
 
-def _step(rows: DataFrame, params: DataFrame, keep_half: bool) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, prior: DataFrame, keep_half: bool) -> DataFrame:
     """One concentration step (the half with the smallest distances), or the reweighting step, for every group and start."""
     x = list(STATS)
     bin_ = F.when(F.col("d2") < 1e-6, -160).otherwise(F.floor(F.log2("d2") * _BINS)).cast("int").alias("bin")
-    near = rows.join(params, "gid").withColumn("d2", _distance(x)).select("gid", "start", bin_, *x)
-    summed = near.groupBy("gid", "start", "bin").agg(*_moments(x))
+    near = rows.join(params.select("gid", "start", "m", "w"), "gid").withColumn("d2", _distance(x)).select("gid", "start", bin_, *x)
+    summed = near.groupBy("gid", "start", "bin").agg(*_moments(x)).join(prior, "gid")
 
     def estimate(key, f):
         f = f.sort_values("bin")
@@ -178,81 +187,115 @@ def _step(rows: DataFrame, params: DataFrame, keep_half: bool) -> DataFrame:
         at = int(np.searchsorted(below, half)) if keep_half else int(np.searchsorted(below, 0.5 * n.sum()))
         if not keep_half:  # distances are scaled so that their median is that of chi-squared, then the central rows are kept
             middle = 2.0 ** ((f["bin"].to_numpy()[at] + 0.5) / _BINS)
+            middle = (n.sum() * middle + PRIOR * MIDDLE) / (n.sum() + PRIOR)
             edge = np.log2(KEEP * max(middle, 1e-6) / MIDDLE) * _BINS
-            at = max(at, int(np.searchsorted(f["bin"].to_numpy(), edge)) - 1)
+            at = max(0, int(np.searchsorted(f["bin"].to_numpy(), edge)) - 1)
         k = min(at, len(n) - 1) + 1
-        return pd.DataFrame([_row(key[0], int(key[1]), n[:k].sum(), s[:k].sum(axis=0), ss[:k].sum(axis=0))])
+        return pd.DataFrame([_row(key[0], int(key[1]), n[:k].sum(), s[:k].sum(axis=0), ss[:k].sum(axis=0), *_prior(f), HALF if keep_half else NEARLY_ALL)])
 
     return summed.groupBy("gid", "start").applyInPandas(estimate, _PARAMS)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _quartiles(x: list[str]):
+    return [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"r{i}") for i, c in enumerate(x)]
+
+
+def _spread(f: pd.DataFrame, k: int):
+    r = np.array([f[f"r{i}"].iloc[k] for i in range(P)], dtype=float)
+    return r[:, 1], np.diag(((r[:, 2] - r[:, 0]) / 1.349) ** 2)
+
+
+def _starts(rows: DataFrame, prior: DataFrame) -> DataFrame:
     """Start 0: medians and quartile ranges. Start 1: mean and covariance of all rows."""
     x = list(STATS)
-    quart = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"r{i}") for i, c in enumerate(x)]
-    both = rows.groupBy("gid").agg(*_moments(x), *quart)
+    both = rows.groupBy("gid").agg(*_moments(x), *_quartiles(x)).join(prior, "gid")
 
     def run(frames):
         for f in frames:
             n, s, ss = _unpack(f)
             out = []
             for k in range(len(f)):
-                r = np.array([f[f"r{i}"].iloc[k] for i in range(P)], dtype=float)
-                c = np.diag(((r[:, 2] - r[:, 0]) / 1.349) ** 2) + _FLOORS
-                out.append({"gid": f["gid"].iloc[k], "start": 0, "m": list(r[:, 1]), "w": list(np.linalg.inv(c).ravel()), "logdet": float(np.linalg.slogdet(c)[1])})
-                out.append(_row(f["gid"].iloc[k], 1, n[k], s[k], ss[k]))
-            yield pd.DataFrame(out)
+                m, c = _spread(f, k)
+                out.append(_row(f["gid"].iloc[k], 0, n[k], n[k] * m, n[k] * (c + np.outer(m, m)), *_prior(f, k)))
+                out.append(_row(f["gid"].iloc[k], 1, n[k], s[k], ss[k], *_prior(f, k)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARAMS.split(", ")])
 
     return both.mapInPandas(run, _PARAMS)
 
 
-def statistics(counted: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = 200, ids=()) -> DataFrame:
-    """(ids, gid, transformed statistics) of every counted row."""
-    groups = materialise(_group_of(counted, lang, source, least_rows), "mcd-groups")
-    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in (lang, source)]
-    rows = counted.withColumns({"_lang": key[0], "_source": key[1]}).join(groups, ["_lang", "_source"])
+def statistics(counted: DataFrame, lang: str = "lang", source: str = "source", ids=()) -> DataFrame:
+    """(ids, lid, gid, transformed statistics) of every counted row; lid names its language, gid its language and source."""
+    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias(n) for c, n in ((lang, "_lang"), (source, "_source"))]
+    named = counted.select("*", *key).withColumns({"lid": F.to_json(F.struct("_lang")), "gid": F.to_json(F.struct("_lang", "_source"))})
     used = sorted({c for a, b, *_ in STATS.values() for c in (a, b)})
-    pooled = materialise(rows.groupBy("gid").agg(*[F.sum(c).alias(f"t_{c}") for c in used]), "mcd-pooled")
-    rows = rows.join(pooled, "gid")
+    sums = materialise(named.groupBy("lid", "gid").agg(*[F.sum(c).alias(f"t_{c}") for c in used]), "mcd-sums")
+    of_lang = sums.groupBy("lid").agg(*[F.sum(f"t_{c}").alias(f"l_{c}") for c in used])
+    whole = sums.agg(*[F.sum(f"t_{c}").alias(c) for c in used]).first()
+    one = sums.join(of_lang, "lid")
+    lean = lambda a, b, level, k, to: (F.col(f"{level}_{a}") + PRIOR * k * to) / (F.col(f"{level}_{b}") + PRIOR * k)
+    pooled = []
+    for name, (a, b, k, _) in STATS.items():
+        top = F.lit((whole[a] or 0) / max(whole[b] or 0, 1))
+        pooled.append(lean(a, b, "t", k, lean(a, b, "l", k, top)).alias(f"p_{name}"))
+    rows = named.join(materialise(one.select("gid", *pooled), "mcd-pooled"), "gid")
     out = []
     for name, (a, b, k, _) in STATS.items():
-        prior = F.col(f"t_{a}") / F.greatest(F.col(f"t_{b}"), F.lit(1))
-        ratio = (F.col(a) + k * prior) / (F.col(b) + k)
+        ratio = (F.col(a) + k * F.col(f"p_{name}")) / (F.col(b) + k)
         out.append((F.log(F.greatest(ratio, F.lit(0.01))) if name == "word_length" else F.asin(F.sqrt(F.least(ratio, F.lit(1.0))))).alias(name))
-    return rows.select(*ids, "gid", *out)
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """(gid, m, w, scale) of each group: reweighted centre, inverse scatter, and the factor that brings its median squared distance to chi-squared's."""
-    params = materialise(_starts(rows), "mcd-start")
-    for _ in range(STEPS):
-        params = materialise(_step(rows, params, True), "mcd-step")
-    best = params.groupBy("gid").agg(F.min_by(F.struct("start", "m", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select("gid", "b.*")
-    best = materialise(best, "mcd-best")
-    for _ in range(STEPS):
-        best = materialise(_step(rows, best, True), "mcd-step")
-    best = materialise(_step(rows, best, False), "mcd-reweighted")
-    median = rows.join(best, "gid").groupBy("gid").agg(F.percentile_approx(_distance(list(STATS)), 0.5, 1000).alias("mid"))
-    scale = F.least(F.lit(1.0), MIDDLE / F.greatest(F.col("mid"), F.lit(1e-6)))  # never makes a tight group stricter than its floors
-    return materialise(best.join(median, "gid").select("gid", "m", "w", scale.alias("scale")), "mcd-estimates")
+    return rows.select(*ids, "lid", "gid", *out)
+
+
+def _settled(rows: DataFrame, params: DataFrame, prior: DataFrame, most: int) -> DataFrame:
+    """``params`` after concentration steps until no determinant moves, ``most`` at most."""
+    for _ in range(most):
+        new = materialise(_step(rows, params, prior, True), "mcd-step")
+        moved = new.join(params.select("gid", "start", F.col("logdet").alias("_old")), ["gid", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_old"))).alias("d")).first().d
+        params = new
+        if moved is None or moved < STILL:
+            break
+    return params
+
+
+def estimates(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """(gid, m, c, w, scale) of each group: reweighted centre, scatter, inverse scatter, and the factor that brings its median squared distance to chi-squared's. ``prior``: (gid, m0, c0)."""
+    params = _settled(rows, materialise(_starts(rows, prior), "mcd-start"), prior, STEPS)
+    best = params.groupBy("gid").agg(F.min_by(F.struct("start", "m", "c", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select("gid", "b.*")
+    best = _settled(rows, materialise(best, "mcd-best"), prior, MORE_STEPS)
+    best = materialise(_step(rows, best, prior, False), "mcd-reweighted")
+    near = rows.join(best.select("gid", "m", "w"), "gid").groupBy("gid").agg(F.percentile_approx(_distance(list(STATS)), 0.5, 1000).alias("mid"), F.count("*").alias("n"))
+    mid = (F.col("n") * F.col("mid") + PRIOR * MIDDLE) / (F.col("n") + PRIOR)
+    scale = F.least(F.lit(1.0), MIDDLE / F.greatest(mid, F.lit(1e-6)))  # never makes a tight group stricter than its floors
+    return materialise(best.join(near, "gid").select("gid", "m", "c", "w", scale.alias("scale")), "mcd-estimates")
+
+
+def fitted(rows: DataFrame) -> DataFrame:
+    """(gid, m, c, w, scale) of every language and source; ``rows`` (lid, gid, statistics), written."""
+    x = list(STATS)
+    whole = pd.DataFrame([r.asDict() for r in [rows.agg(*_quartiles(x)).first()] if r.r0 is not None])
+    m, c = _spread(whole, 0) if len(whole) else (np.zeros(P), np.zeros((P, P)))
+    langs = rows.select(F.col("lid").alias("gid"), *x)
+    start = langs.select("gid").distinct().select("gid", F.array(*map(F.lit, m.tolist())).alias("m0"), F.array(*map(F.lit, c.ravel().tolist())).alias("c0"))
+    of_lang = estimates(langs, materialise(start, "mcd-prior"))
+    told = of_lang.select(F.col("gid").alias("lid"), F.col("m").alias("m0"), F.transform("c", lambda v: v / F.col("scale")).alias("c0"))
+    prior = rows.select("lid", "gid").distinct().join(told, "lid").select("gid", "m0", "c0")
+    return estimates(rows.select("gid", *x), materialise(prior, "mcd-prior"))
 
 
-def judged(counted: DataFrame, lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF, least_rows: int = 200) -> DataFrame:
+def judged(counted: DataFrame, lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF) -> DataFrame:
     """``counted`` (written) with ``base_failed``, ``distance`` (squared) and ``kept``."""
     ids = [f"`{c}`" for c in counted.columns]
-    rows = statistics(counted, lang, source, least_rows, ids)
-    x = statistics(counted, lang, source, least_rows)
-    fit = materialise(x, "mcd-rows")
-    found = rows.join(estimates(fit), "gid").withColumn("distance", _distance(list(STATS)) * F.col("scale"))
+    rows = statistics(counted, lang, source, ids)
+    fit = materialise(statistics(counted, lang, source), "mcd-rows")
+    found = rows.join(fitted(fit).select("gid", "m", "w", "scale"), "gid").withColumn("distance", _distance(list(STATS)) * F.col("scale"))
     return found.select(*ids, base_failed().alias("base_failed"), "distance", (~base_failed() & (F.col("distance") <= cutoff)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least_rows: int = 200) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` less the rows that the rules reject."""
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)])
     at = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     counted = materialise(counts(plain, at[text_col], keep_text=True), "mcd-docs")
-    found = judged(counted, at[lang], at[source], cutoff=cutoff, least_rows=least_rows)
+    found = judged(counted, at[lang], at[source], cutoff=cutoff)
     return found.filter("kept").select(*[F.col(v).alias(c) for c, v in at.items()])
 
 

@@ -1,6 +1,8 @@
+import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.llm import quality
@@ -36,17 +38,16 @@ def test_outliers_go_and_clean_rows_stay(spark, make_docs):
     junk = [" ".join(w + "###" for w in t.split()) for t in _texts(12, 2)] + [t.upper().replace(" ", "!! ") for t in _texts(12, 3)]
     short = ["too short", None, ""]
     docs = make_docs(clean + junk + short)
-    kept = {r.doc_id for r in quality.keep_good(docs, least_rows=50).collect()}
-    assert kept == set(range(400))
-    out = quality.keep_good(docs, least_rows=50)
+    out = quality.keep_good(docs)
+    assert {r.doc_id for r in out.collect()} == set(range(400))
     assert out.columns == docs.columns and out.first().extra == "y"
 
 
 def test_groups_nulls_ties_and_empty_tables(spark, make_docs):
     docs = make_docs(_texts(60)).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en")).withColumn("source", F.when(F.col("doc_id") % 2 > 0, "s"))
-    assert quality.keep_good(docs).count() == 60  # small groups are pooled
+    assert quality.keep_good(docs).count() == 60  # small groups lean on others
     same = make_docs(_texts(1) * 50)
-    assert quality.keep_good(same, least_rows=10).count() == 50
+    assert quality.keep_good(same).count() == 50
     assert quality.keep_good(docs.limit(0)).count() == 0
     long = make_docs([" ".join(_texts(2000))])
     assert quality.keep_good(long).count() == 1
@@ -57,3 +58,106 @@ def test_query(spark, make_docs, tables):
     got = {r.doc_id: r for r in quality.op1_mcd_quality(spark, sf).collect()}
     assert len(got) == 31 and got[30].base_failed and not got[30].kept and got[0].kept
     assert dict(quality.op1_mcd_quality(spark, sf).dtypes)["n_repeat_words"] == "bigint"
+
+
+def _plain(counts, langs, sources):
+    """Squared distances by numpy: the same rule, row by row and group by group."""
+    P, x = quality.P, []
+    names = quality.COUNTS
+    total = lambda rows, c: sum(counts[k][names.index(c)] for k in rows)
+    all_ = list(range(len(counts)))
+    groups = {(g, h): [k for k in all_ if (langs[k], sources[k]) == (g, h)] for g, h in set(zip(langs, sources))}
+    of_lang = {g: [k for k in all_ if langs[k] == g] for g in set(langs)}
+    for k in all_:
+        row = []
+        for stat, (a, b, pseudo, _) in quality.STATS.items():
+            prior = total(all_, a) / max(total(all_, b), 1)
+            for rows in (of_lang[langs[k]], groups[langs[k], sources[k]]):
+                prior = (total(rows, a) + quality.PRIOR * pseudo * prior) / (total(rows, b) + quality.PRIOR * pseudo)
+            ratio = (counts[k][names.index(a)] + pseudo * prior) / (counts[k][names.index(b)] + pseudo)
+            row.append(np.log(max(ratio, 0.01)) if stat == "word_length" else np.arcsin(np.sqrt(min(ratio, 1))))
+        x.append(row)
+    x = np.array(x)
+    lower = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]  # noqa: E731  percentile_approx on few rows
+
+    def blend(rows, m0, c0, shrink=1.0):
+        n, s, ss = len(rows), rows.sum(axis=0), rows.T @ rows
+        m = (s + quality.PRIOR * m0) / (n + quality.PRIOR)
+        return m, (ss + quality.PRIOR * (c0 / shrink + np.outer(m0, m0))) / (n + quality.PRIOR) - np.outer(m, m)
+
+    def d2(rows, m, c):
+        return np.maximum(np.einsum("ij,jk,ik->i", rows - m, np.linalg.inv(c + quality._FLOORS), rows - m), 0)
+
+    def bins(d):
+        return np.where(d < 1e-6, -160, np.floor(np.log2(np.maximum(d, 1e-300)) * quality._BINS))
+
+    def half(rows, m, c, m0, c0):
+        b = bins(d2(rows, m, c))
+        edge = np.sort(b)[int(-(-(len(rows) + P + 1) // 2)) - 1] if -(-(len(rows) + P + 1) // 2) <= len(rows) else b.max()
+        return blend(rows[b <= edge], m0, c0, quality.HALF)
+
+    det = lambda c: np.linalg.slogdet(c + quality._FLOORS)[1]
+
+    def settle(rows, found, m0, c0, most):
+        for _ in range(most):
+            new = [half(rows, m, c, m0, c0) for m, c in found]
+            still = max(abs(det(n[1]) - det(o[1])) for n, o in zip(new, found)) < quality.STILL
+            found = new
+            if still:
+                break
+        return found, still
+
+    def spread(rows):
+        r = np.array([[lower(v, q) for q in (0.25, 0.5, 0.75)] for v in rows.T])
+        return r[:, 1], np.diag(((r[:, 2] - r[:, 0]) / 1.349) ** 2)
+
+    def fit(parts, priors):
+        """All groups step together, as long as one of them moves."""
+        found = {}
+        for g, rows in parts.items():
+            m, c = spread(rows)
+            m0, c0 = priors[g]
+            n = len(rows)
+            s, ss = n * m + quality.PRIOR * m0, n * (c + np.outer(m, m)) + quality.PRIOR * (c0 + np.outer(m0, m0))
+            first = s / (n + quality.PRIOR)
+            found[g] = [(first, ss / (n + quality.PRIOR) - np.outer(first, first)), blend(rows, m0, c0)]
+        for most, keep in ((quality.STEPS, False), (quality.MORE_STEPS, True)):
+            if keep:
+                found = {g: [min(f, key=lambda e: det(e[1]))] for g, f in found.items()}
+            for _ in range(most):
+                done = {g: settle(parts[g], f, *priors[g], 1) for g, f in found.items()}
+                found = {g: d[0] for g, d in done.items()}
+                if all(d[1] for d in done.values()):
+                    break
+        out = {}
+        for g, ((m, c),) in found.items():
+            rows, n = parts[g], len(parts[g])
+            b = bins(d2(rows, m, c))
+            levels = np.unique(b)
+            below = np.cumsum([(b == v).sum() for v in levels])
+            middle = 2.0 ** ((levels[int(np.searchsorted(below, 0.5 * n))] + 0.5) / quality._BINS)
+            middle = (n * middle + quality.PRIOR * quality.MIDDLE) / (n + quality.PRIOR)
+            at = max(0, int(np.searchsorted(levels, np.log2(quality.KEEP * middle / quality.MIDDLE) * quality._BINS)) - 1)
+            m, c = blend(rows[b <= levels[at]], *priors[g], quality.NEARLY_ALL)
+            mid = (n * lower(d2(rows, m, c), 0.5) + quality.PRIOR * quality.MIDDLE) / (n + quality.PRIOR)
+            out[g] = m, c, min(1.0, quality.MIDDLE / max(mid, 1e-6))
+        return out
+
+    langs_fit = fit({g: x[r] for g, r in of_lang.items()}, dict.fromkeys(of_lang, spread(x)))
+    fits = fit({g: x[r] for g, r in groups.items()}, {g: (langs_fit[g[0]][0], langs_fit[g[0]][1] / langs_fit[g[0]][2]) for g in groups})
+    return [float(d2(x[k : k + 1], *fits[langs[k], sources[k]][:2])[0] * fits[langs[k], sources[k]][2]) for k in all_]
+
+
+def test_distances_match_numpy(spark, make_docs):
+    rng = random.Random(9)
+    texts = _texts(150, 4) + [" ".join(w + "###" for w in t.split()) for t in _texts(5, 2)] + ["1234 " * 40, None, "x"]
+    langs = [rng.choice(["en", "en", "de", None]) for _ in texts]
+    sources = [rng.choice(["a", "a", "b"]) if k > 3 else f"rare{k}" for k in range(len(texts))]
+    rows = [(k, t, a, b) for k, (t, a, b) in enumerate(zip(texts, langs, sources))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(quality.materialise(quality.counts(docs), "t")).collect()}
+    want = _plain([quality.count_text(t) for t in texts], langs, sources)
+    for k, d in enumerate(want):
+        assert math.isclose(got[k].distance, d, rel_tol=1e-6, abs_tol=1e-6)
+        assert got[k].kept == (not got[k].base_failed and d <= quality.CUTOFF)
+    assert not any(got[k].kept for k in range(150, 158)) and sum(got[k].kept for k in range(150)) >= 148
