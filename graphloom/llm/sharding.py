@@ -4,18 +4,23 @@ Records are ordered by (hash of the text, hash of the id, row number), so equal
 texts are neighbours and yet a group of copies can be cut anywhere. A sample of
 keys, drawn with a chance in proportion to size, gives weighted quantiles: the
 boundaries of many ranges, each a small part of a shard. Ranges that turn out
-overfull are sampled again and subdivided. Exact sums of the ranges, and running
+overfull are sampled again and subdivided, until none is that holds two rows
+(a range between two keys is of one row, so this ends). Exact sums of the ranges, and running
 sums within each, place every record on a line of all bytes; equal stretches of
 the line are the shards.
 
 The law is ``bytes``: the sizes of any two shards differ by less than two of
 the largest records. A null text has no bytes; its checksum is that of the
 empty text. Repeated rows and null ids are records like any other. What reaches
-the driver is bounded by ``MOST`` ranges, not by the rows.
+the driver is bounded by ``MOST`` ranges and what subdivides them, at most twice
+as many, not by the rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +35,6 @@ MOST = 16_384
 DRAW = 8
 #: Times the mean bytes or rows from which a range is overfull.
 OVERFULL = 4
-ROUNDS = 6
 _COARSE = 12
 
 
@@ -85,22 +89,27 @@ def assign(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     parts = max(1, min(MOST, n, max(ranges, n // ROWS)))
     splitters = _quantiles(_draw(base, 0, F.col("size") * (parts * DRAW / total)), parts)
     sums: dict[int, tuple[int, int]] = {}
-    for salt in range(1, ROUNDS + 1):
+    salt = 0
+    while True:
+        salt += 1
         ranged = base.withColumn("range", _range_of(splitters))
         sums = {r.range: (r.n, r.b) for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-        mean_n, mean_b = n / parts, total / parts
+        mean_n, mean_b = max(1, n / parts), max(1, total / parts)
         over = {k: max(c / mean_n, b / mean_b) for k, (c, b) in sums.items() if c > 1 and max(c / mean_n, b / mean_b) > OVERFULL}
-        if not over or salt == ROUNDS:
-            break
-        heat = max(over.values())
-        most = {k: sums[k] for k in over}
-        rate = F.lit(0.0)
-        for k in sorted(over)[:64]:
-            rate = F.when(F.col("range") == k, F.lit(min(1.0, DRAW * over[k] / most[k][0]))).otherwise(rate)
-        hot = ranged.filter(F.col("range").isin(sorted(over)[:64]))
-        more = [key for key, _ in _draw(hot, salt, rate)][:: max(1, DRAW // 2)]
-        if not more or heat <= OVERFULL:
+        if not over:
             break
+        rate = [min(1.0, DRAW * over[k] / sums[k][0]) if k in over else 0.0 for k in range(len(splitters) + 1)]  # draws a row, by range
+        drawn = _draw(ranged, salt, _numbers(rate, "double")[F.col("range")])
+        more, seen, per, known = set(), Counter(), max(1, DRAW // 2), set(splitters)
+        for key, _ in drawn:
+            if key in known:
+                continue
+            k = bisect_right(splitters, key)
+            if seen[k] % per == 0:
+                more.add(key)
+            seen[k] += 1
+        if not more:
+            break  # every key that was drawn is a boundary
         splitters = sorted({*splitters, *more})
     last = max(sums, default=0)
     bytes_before, rows_before = [0] * (last + 1), [0] * (last + 1)

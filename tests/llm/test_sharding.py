@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import sharding
 
 
@@ -46,3 +48,19 @@ def test_small_tables(spark, make_docs):
     assert sharding.assign(make_docs(["a"]).limit(0)).count() == 0
     one = sharding.assign(make_docs([None], ids=[None])).collect()
     assert [(r.doc_id, r.size, r.text_crc32, r.slot) for r in one] == [(None, 8, 0, 0)]
+
+
+def test_many_overfull_ranges_are_all_subdivided(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "OVERFULL", 1)
+    monkeypatch.setattr(sharding, "ROWS", 4)
+    texts = [f"{k}" * 3 for k in range(900)] + ["y" * 40_000, "z" * 30_000, "y" * 40_000]
+    rows = sharding.assign(make_docs(texts), ranges=150).collect()
+    check(rows, texts)
+
+
+def test_clashing_columns_and_long_texts(spark, make_docs):
+    texts = ["long " * 300_000, "short", None]
+    docs = make_docs(texts).withColumns({"shard": F.lit("a"), "slot": F.lit("b"), "size": F.lit(None).cast("int"), "range": F.lit(1), "k1": F.lit(2), "uid": F.lit(3)})
+    out = sharding.assign(docs)
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    check(out.collect(), texts)
