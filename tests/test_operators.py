@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schemas as S
 from graphloom.functions import similarity, text
-from graphloom.operators import align, catalog, chunks, cluster, extract, graph, merge
+from graphloom.operators import align, catalog, chunks, client, cluster, extract, graph, merge
 from graphloom.plans import extraction
 from graphloom.sources import readers, store
 from graphloom.streaming import ingest
@@ -41,26 +41,55 @@ def test_sentence_chunks_cover_all_tokens_within_the_limit():
 
 
 def test_chunk_examples():
-    four = "No man is an island,\nEntire of itself,\nEvery man is a piece of the continent,\nA part of the main."
     cut = lambda t, n: [t[chunks.spans(t)[a][3] : chunks.spans(t)[b - 1][4]] for a, b in chunks.sentence_chunks_of(t, n)]
-    assert cut(four, 40) == ["No man is an island,\nEntire of itself,", "Every man is a piece of the continent,", "A part of the main."]
-    assert cut("This is antidisestablishmentarianism.", 20) == ["This is", "antidisestablishmentarianism", "."]
-    assert len(cut("Roses are red. Violets are blue. Flowers are nice. And so are you.", 60)) == 2
+    report = "Rain fell over the low fields\nand the river rose\nby a hand every hour.\nBoats were tied up."
+    assert cut(report, 52) == ["Rain fell over the low fields\nand the river rose", "by a hand every hour.", "Boats were tied up."]  # a long sentence parts at a line, its rest stands alone
+    assert cut("We met Rindfleischetikettierung there.", 16) == ["We met", "Rindfleischetikettierung", "there."]  # a token over the limit is a chunk
+    assert cut("One bell. Two bells. Three bells. Four.", 21) == ["One bell. Two bells.", "Three bells. Four."]
+    assert cut("Mr. Orr left. Ann stayed.", 14) == ["Mr. Orr left.", "Ann stayed."]
+
+
+def slow_chunks(text, most):
+    """The chunks by their rule, each found anew from the list of sentences: (first, end) tokens."""
+    toks = chunks.spans(text)
+    sentences, a = [], 0
+    for e in chunks.sentence_ends(text, toks):
+        sentences.append((a, e))
+        a = e
+    size = lambda a, b: toks[b - 1][4] - toks[a][3]
+    out, rest, left = [], None, list(sentences)
+    while left or rest:
+        a, e = rest or left.pop(0)
+        alone, rest = rest is not None, None
+        if size(a, a + 1) > most:
+            out.append((a, a + 1))
+            rest = (a + 1, e) if a + 1 < e else None
+        elif size(a, e) > most:
+            fits = max(k for k in range(a + 1, e + 1) if size(a, k) <= most)
+            lines = [k for k in range(a + 1, fits + 1) if toks[k][5]]  # the token that breaks the limit may begin the line
+            stop = lines[-1] if lines else fits
+            out.append((a, stop))
+            rest = (stop, e)
+        else:
+            while not alone and left and size(a, left[0][1]) <= most:
+                e = left.pop(0)[1]
+            out.append((a, e))
+    return out
+
+
+def test_sentence_chunks_equal_the_slow_rule():
+    rng = random.Random(7)
+    for _ in range(600):
+        t = "".join(rng.choice(["word", " ", " ", "\n", ". ", "Longword", "x", "? ", "A/B", "，", "Dr", "\nThe "]) for _ in range(rng.randint(0, 50)))
+        most = rng.randint(2, 45)
+        assert chunks.sentence_chunks_of(t, most) == slow_chunks(t, most), (t, most)
 
 
 def test_paragraph_chunks(spark):
-    def plain(t, most, overlap):
-        out, cur = [], ""
-        for p in t.split("\n\n"):
-            if len(cur) + len(p) > most and cur:
-                out.append(cur.strip())
-                cur = (cur[-overlap:] if len(cur) > overlap else cur) + "\n\n"
-            cur += p + "\n\n"
-        return out + [cur.strip()] * bool(cur.strip())
-
-    texts = ["", "one", "a" * 30 + "\n\n" + "b" * 30 + "\n\n" + "c" * 5, "\n\n\n\nx\n\n" * 9, "é" * 99]
+    a, b, c = "a" * 30, "b" * 30, "c" * 5
+    texts = {"": [], "one": ["one"], f"{a}\n\n{b}\n\n{c}": [a, "a" * 8 + "\n\n\n\n" + b, "b" * 8 + "\n\n\n\n" + c], "\n\n\n\n \n": [], "é" * 99: ["é" * 99]}
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chunks.paragraph_chunks(F.col("t"), 40, 10).alias("c"))
-    assert [r.c for r in df.orderBy("k").collect()] == [plain(t, 40, 10) for t in texts]
+    assert [r.c for r in df.orderBy("k").collect()] == list(texts.values())
 
 
 def test_names(spark):
@@ -112,15 +141,61 @@ def test_prompt(spark):
 
 def test_alignment():
     t = "Patient takes aspirin daily. Blood tests were normal."
-    got = align.align_texts(t, ["aspirin daily", "blood test", "missing thing"])
+    got = align.align_texts(t, ["aspirin daily", "blood test", "missing thing", "patients took aspirin daily"])
     assert got[0] == ("match_exact", 2, 4)
-    assert got[1][0] in ("match_lesser", "match_fuzzy") and got[2][0] is None
+    assert got[1] == ("match_lesser", 5, 6) and got[2][0] is None and got[3] == ("match_fuzzy", 0, 4)
+    assert align.align_texts(t, ["blood test"], accept_lesser=False) == [("match_fuzzy", 5, 7)]
     with pytest.raises(ValueError):
         align.align_texts(t, [" "])
     with pytest.raises(ValueError):
         align.align_texts(t, ["a ␟ b"])
 
 
+def slow_alignment(text, wanted, accept_lesser=True):
+    """difflib over all tokens, and every window of every width."""
+    source = [x[2].lower() for x in chunks.spans(text)]
+    lists = [[x[2].lower() for x in chunks.spans(w)] for w in wanted]
+    goal, starts = [], {}
+    for k, own in enumerate(lists):
+        goal += ["␟"] * bool(goal)
+        starts[len(goal)] = k
+        goal += own
+    out = [(None, 0, 0)] * len(wanted)
+    for i, j, n in SequenceMatcher(None, source, goal, autojunk=False).get_matching_blocks():
+        k = starts.get(j)
+        if n and k is not None and lists[k] and (n == len(lists[k]) or (accept_lesser and n < len(lists[k]))):
+            out[k] = ("match_exact" if n == len(lists[k]) else "match_lesser", i, i + n)
+    light = lambda x: x[:-1] if len(x) > 3 and x.endswith("s") and not x.endswith("ss") else x
+    plain = [light(x) for x in source]
+    for k, own in enumerate(lists):
+        own, best = [light(x) for x in own], (0.0, None)
+        if out[k][0] is None and own:
+            for width in range(len(own), len(plain) + 1):
+                for a in range(len(plain) - width + 1):
+                    part = plain[a : a + width]
+                    if sum(min(own.count(x), part.count(x)) for x in set(own)) >= int(len(own) * 0.75):
+                        share = sum(m.size for m in SequenceMatcher(None, part, own, autojunk=False).get_matching_blocks()) / len(own)
+                        best = (share, (a, a + width)) if share > best[0] else best
+            if best[0] >= 0.75:
+                out[k] = ("match_fuzzy", *best[1])
+    return out
+
+
+def test_alignment_equals_the_slow_rule():
+    rng = random.Random(13)
+    vocabulary = ["tests", "test", "glass", "a", "b", "c", "dogs", "dog", "A/B", "1"]
+    seen = set()
+    for k in range(400):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 22)))
+        wanted = [" ".join(rng.choice([*vocabulary, "absent"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 4))]
+        if not any(w.strip() for w in wanted):
+            continue
+        got = align.align_texts(text, wanted, accept_lesser=k % 2 == 0)
+        assert got == slow_alignment(text, wanted, k % 2 == 0), (text, wanted)
+        seen |= {s for s, _, _ in got}
+    assert seen == {None, "match_exact", "match_lesser", "match_fuzzy"}
+
+
 def test_passes(spark):
     data = [("d", 0, 0, 0, 5), ("d", 0, 1, 3, 8), ("d", 1, 0, 4, 6), ("d", 1, 1, 8, 9), ("d", 1, 2, 8, 12), ("d", 1, 3, None, None)]
     df = spark.createDataFrame(data, "doc string, pass int, ord int, s int, e int")
@@ -254,6 +329,34 @@ def test_places_without_one_big_window(spark):
     assert got == [(k, k) for k in range(100)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_places_of_many_wide_rows(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 1_000_000
+        wide = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("a"), F.sha2((F.col("id") + 1).cast("string"), 256).alias("b"))
+        got = chunks.with_places(wide, ["k"], "place").agg(F.count("*").alias("n"), F.sum((F.col("place") == F.col("k")).cast("long")).alias("right"), F.max("place").alias("last")).first()
+        assert (got.n, got.right, got["last"]) == (n, n, n - 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def test_merges_collect_no_hot_key(spark):
+    n = 20_000
+    hot = spark.range(n).select(F.lit("n").alias("name"), F.lit("t").alias("type"), F.create_map(F.lit("k"), F.col("id").cast("string"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")), F.lit("x")).alias("props"), F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("description"))
+    first, last = merge.merge_entities(hot).first(), merge.build_nodes(hot).first()
+    assert first.props["k"] == "0" and last.props["k"] == str(n - 1) and len(last.props) == 6
+    assert last.description == str(n - 1 - (n - 1) % 3) and first.ord == 0
+    files = hot.select(F.lit("i").alias("node_id"), F.lit("n").alias("node_name"), F.lit(None).cast("string").alias("node_type"), "description", "props", F.array(F.concat(F.lit("f"), (F.col("ord") % 7).cast("string")), F.lit(None).cast("string")).alias("filename"), "ord")
+    r = merge.merge_nodes_across(files).first()
+    assert r.description == hot.filter(F.col("ord") == n - 1).first().description and r.filename == [None, *[f"f{k}" for k in range(7)]]
+    text = merge.build_nodes(hot)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text.split("explode")[-1]  # before the entries are taken apart nothing is collected
+
+
 def test_tasks_end_to_end(spark):
     from graphloom.plans import service
 
@@ -287,3 +390,77 @@ def test_ontology_text_and_validation(spark):
     df = spark.createDataFrame([("", 1), ("a.md", None), ("a.md", 0), ("a.xyz", 1), ("a.md", 5)], "path string, size int")
     assert [r.error_message for r in ontology.checked(df, "path", "size", [".md"]).collect()] == ["no path", "no such file", "the file is empty", "unsupported: .xyz", None]
     assert ontology.drawn(spark.range(100), 10, "id").count() == 10 and ontology.perturbed("abc", 1) != "abc"
+
+
+def test_answers_in_fences_and_yaml(spark):
+    good = '{"extractions": [{"Name": "Ada", "Name_attributes": {"role": "x"}}]}'
+    texts = [good, f"Sure:\n```json\n{good}\n```\nbye", f"```json\n{good}", None, "```json\n```"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, answer string").withColumn("chunk", F.lit(0))
+    faults = [r.f for r in df.orderBy("doc").select(extract.fault(extract.as_json(F.col("answer"))).alias("f")).collect()]
+    assert faults == [None, None, "not json", "not json", "not json"]
+    nodes, _ = extraction.graph_of(df)
+    assert rows(nodes.select("node_id", F.col("props")["role"])) == [("Name_Ada", "x")]
+    yaml = "words\n```yaml\nextractions:\n- Name: Ada\n  Name_attributes: {role: x}\n- 关系: ''\n  关系_attributes: {主体: Ada, 谓词: knows, 客体: Ada}\n```"
+    df = spark.createDataFrame([(0, 0, yaml), (1, 0, "extractions: ["), (2, 0, "- 1")], "doc int, chunk int, answer string")
+    nodes, edges = extraction.graph_of(df, "yaml")
+    assert rows(nodes.select("node_id")) == [("Name_Ada",)] and rows(edges.select("source_id", "relation_type", "target_id")) == [("Name_Ada", "knows", "Name_Ada")]
+    with pytest.raises(ValueError):
+        extract.as_json(F.lit("x"), "toml")
+
+
+def test_two_step_extraction(spark):
+    def model(prompts):  # finds entities when asked for them, and relations only among those that it is told of
+        out = []
+        for p in prompts:
+            text = p.rpartition("Q: ")[2].removesuffix("\nA: ")
+            if "relations" in p.splitlines()[0]:
+                told = [x.removeprefix("- Name: ") for x in p.splitlines() if x.startswith("- Name: ")]
+                items = [{"关系": "", "关系_attributes": {"主体": a, "谓词": "knows", "客体": b}} for a, b in zip(told, told[1:])]
+            else:
+                items = [{"Name": w} for w in text.split() if w.istitle()] + [{"Name": ""}] * ("blank" in text)
+            out.append("nonsense" if "broken" in text else "```json\n" + json.dumps({"extractions": items}, ensure_ascii=False) + "\n```")
+        return out
+
+    docs = spark.createDataFrame([(1, "Ada met Bob"), (2, "only Carl here"), (3, "nobody"), (4, "blank and Dan and Eve"), (5, "broken"), (6, "Ada " * 900)], "doc_id int, text string")
+    found = extraction.answers(docs, model, "Find entities.", relation_description="Find relations.")
+    got = sorted((r.doc, r.route, r.step) for r in found.select("doc", "route", "step").collect())
+    both = lambda d: [(d, "twostep", "entities"), (d, "twostep", "relations")]
+    assert got == [*both(1), *both(4), (5, "twostep", "entities"), (6, "oneshot", "all")]
+    nodes, edges = extraction.graph_of(found)
+    assert {r.node_name for r in nodes.collect()} == {"Ada", "Bob", "Dan", "Eve"}
+    assert rows(edges.select("source_id", "target_id"), "source_id") == [("Name_Ada", "Name_Bob"), ("Name_Dan", "Name_Eve")]
+
+
+def test_clients():
+    assert [client.dialect(u, m) for u, m in (("https://dashscope.aliyuncs.com/x", "q"), ("https://x", "DeepSeek-r1"), ("https://api.openai.com", "g"), ("https://open.zhipuai.cn", "g"), ("http://me", "m"))] == ["dashscope", "deepseek", "openai-compatible", "zhipu", "unknown"]
+    headers, body = client.request("hi", "https://dashscope.aliyuncs.com", "m", "k", temperature=0.5, top_p=1)
+    assert headers["Accept"] == "application/json" and headers["Authorization"] == "Bearer k" and body == {"model": "m", "messages": [{"role": "user", "content": "hi"}], "temperature": 0.5, "top_p": 1}
+    assert client.reply({"choices": [{"message": {"content": "a"}}]}, "unknown") == client.reply({"output": {"choices": [{"message": {"content": "a"}}]}}, "dashscope") == client.reply({"output": {"text": "a"}}, "dashscope") == client.reply({"choices": [{"text": "a"}]}, "dashscope") == "a"
+    assert json.loads(client.reply({"x": 1}, "unknown")) == {"x": 1}
+    for body, kind in (({}, "dashscope"), ({"choices": []}, "openai-compatible"), ({"choices": [{}]}, "zhipu")):
+        with pytest.raises(ValueError):
+            client.reply(body, kind)
+    assert [client.wait_after(k, "429 Too Many") for k in (0, 1)] == [35, 70] and client.wait_after(2, "timeout") == 120
+    waits, replies = [], [(429, "slow"), (500, "Rate limit"), (200, '{"choices": [{"message": {"content": "ok"}}]}')]
+    model = client.HttpModel(lambda *a: replies.pop(0), "http://me", "m", "k", sleep=waits.append)
+    assert model(["p"]) == ["ok"] and waits == [35, 70]
+    with pytest.raises(ValueError):
+        client.HttpModel(lambda *a: (500, ""), "http://me", "m", "k", retries=1)(["p"])
+    with pytest.raises(ValueError):
+        client.HttpModel(print, "http://me", "m", "")
+
+
+def test_clusters_equal_the_slow_rule(spark):
+    rng = random.Random(21)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randint(4, 12))) for _ in range(150)]
+    ents = [(["t", "组织"][k % 2], n, {"地区": rng.choice(["x", "y", ""])}, k) for k, n in enumerate(names)]
+    df = spark.createDataFrame(ents, "type string, name string, props map<string,string>, ord long")
+    got = {r.ord: r.cluster for r in cluster.clusters(df).collect()}
+    leaders, want = [], {}
+    for t, n, p, k in ents:
+        dis = p["地区"] if t == "组织" else ""
+        mine = next((o for u, m, d, o in leaders if u == t and cluster.should_merge(m, n, d, dis)), None)
+        if mine is None:
+            leaders.append((t, n, dis, k))
+        want[k] = k if mine is None else mine
+    assert got == want and 10 < len(leaders) < 150
