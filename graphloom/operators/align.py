@@ -209,3 +209,37 @@ def highlight(text: str, marks: list[tuple[int, int, str, str]]) -> str:
         out += [html.escape(text[at:pos]), tag]
         at = pos
     return "".join([*out, html.escape(text[at:])])
+
+
+def legend(colours: dict[str, str]) -> str:
+    """HTML of the classes and their colours."""
+    import html
+
+    return " ".join(f'<mark style="background:{c}">{html.escape(k)}</mark>' for k, c in sorted(colours.items()))
+
+
+#: Characters that are shown before and after an extraction; fixed value.
+CONTEXT = 150
+
+
+def shown(rows: DataFrame, text: str, start: str, end: str, context: int = CONTEXT) -> DataFrame:
+    """``rows`` with ``before``, ``inside`` and ``after``: an extraction and the text around it."""
+    lo = F.greatest(F.lit(0), F.col(start) - context)
+    part = lambda a, b: F.substring(F.col(text), a + 1, F.greatest(b - a, F.lit(0)))
+    return rows.withColumns({"before": part(lo, F.col(start)), "inside": part(F.col(start), F.col(end)), "after": part(F.col(end), F.col(end) + context)})
+
+
+def pages(annotated: DataFrame, colours: dict[str, str]) -> DataFrame:
+    """document_id, html of annotated documents (document_id, text, extractions): a legend, and the text with marks."""
+    head = legend(colours)
+
+    @F.pandas_udf("string")
+    def page(text: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, xs in zip(text, found):
+            marks = [(x["char_interval"]["start_pos"], x["char_interval"]["end_pos"], x["extraction_class"], colours.get(x["extraction_class"], "#ffff8d")) for x in (xs if xs is not None else []) if x["char_interval"]]
+            body = highlight(t or "", [m for m in marks if m[0] is not None and m[1] is not None])
+            out.append(f'<div class="legend">{head}</div>\n<pre>{body}</pre>')
+        return pd.Series(out)
+
+    return annotated.select("document_id", page("text", "extractions").alias("html"))

@@ -53,6 +53,34 @@ def token_spans(text: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(keys, t)) for t in spans(x)] for x in text])
 
 
+def interval(start: int, end: int) -> tuple[int, int]:
+    """A range of tokens."""
+    if start < 0 or start >= end:
+        raise ValueError(f"not a range of tokens: {start} to {end}")
+    return start, end
+
+
+def char_interval(toks, start: int, end: int) -> tuple[int, int]:
+    """Characters of a range of tokens."""
+    start, end = interval(start, end)
+    if end > len(toks):
+        raise ValueError(f"there are {len(toks)} tokens, not {end}")
+    return toks[start][3], toks[end - 1][4]
+
+
+def tokens_text(text: str, toks, start: int, end: int) -> str:
+    """The text of a range of tokens, with what stands between them."""
+    a, b = char_interval(toks, start, end)
+    return text[a:b]
+
+
+def sentence_range(text: str, toks, start: int) -> tuple[int, int]:
+    """The rest of the sentence that holds token ``start``."""
+    if not 0 <= start < len(toks):
+        raise IndexError(f"there is no token {start}")
+    return start, next(e for e in sentence_ends(text, toks) if e > start)
+
+
 def sentence_ends(text: str, toks) -> list[int]:
     """Index after the last token of each sentence."""
     out = []

@@ -244,6 +244,25 @@ def nested_relations(rows: DataFrame, answer_col: str, keys: list[str]) -> DataF
     return each.select(*keys, "type", kind("subject").alias("subject_type"), name("subject").alias("subject_name"), kind("object").alias("object_type"), name("object").alias("object_name"))
 
 
+def flattened_counts(rows: DataFrame, answer_col: str) -> DataFrame:
+    """entities, relations: what nested answers hold of all types together."""
+    r = rows.select(F.from_json(strip_markdown(F.col(answer_col)), NESTED).alias("r"))
+    total = lambda c: F.coalesce(F.aggregate(F.transform(F.map_values(f"r.{c}"), F.size), F.lit(0), lambda acc, n: acc + n), F.lit(0))
+    return r.agg(F.coalesce(F.sum(total("entities")), F.lit(0)).alias("entities"), F.coalesce(F.sum(total("relations")), F.lit(0)).alias("relations"))
+
+
+def remembered(rows: DataFrame, model: Model, prompt_col: str = "prompt", **options) -> DataFrame:
+    """As :func:`infer`, but equal prompts are asked once."""
+    asked = infer(rows.select(prompt_col).distinct(), model, prompt_col, **options)
+    return rows.join(asked, prompt_col)
+
+
+def repeat_stats(rows: DataFrame, prompt_col: str = "prompt") -> DataFrame:
+    """asked, distinct, hit_rate: how many prompts need no call of their own."""
+    out = rows.agg(F.count(prompt_col).alias("asked"), F.countDistinct(prompt_col).alias("distinct"))
+    return out.withColumn("hit_rate", F.when(F.col("asked") > 0, 1 - F.col("distinct") / F.col("asked")).otherwise(0.0))
+
+
 def inferred_schema(attributes: DataFrame) -> DataFrame:
     """class, attribute, is_list: what examples (class, attributes map<string,string>) say of each class."""
     each = attributes.select("class", F.explode("attributes").alias("attribute", "value"))

@@ -124,6 +124,19 @@ def page_after(rows: DataFrame, key: str, last, n: int) -> DataFrame:
     return rows.filter(F.col(key) > last).orderBy(key).limit(n)
 
 
+def paged(rows: DataFrame, key: str, n: int, first=-1):
+    """Keyset pages of ``n`` rows, to the last; each is a small plan of its own. A page's rows reach the driver."""
+    last = first
+    while True:
+        page = page_after(rows, key, last, n).collect()
+        if not page:
+            return
+        yield page
+        last = page[-1][key]
+        if len(page) < n:
+            return
+
+
 def with_internal_ids(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """Rows numbered from 0 in key order, as an export or a migration names them."""
     return with_places(rows, order, out)

@@ -37,6 +37,25 @@ RULES = """Answer with JSON: {"entities": {type: {name: {attribute: value}}}, "r
 Use only the types above. Give dates as YYYY-MM-DD. Leave out what the text does not say."""
 
 
+#: Task descriptions where none is given; what a schema allows is put after them.
+ENTITY_PROMPT = """Find the entities that the text names. Give each the most specific type, its name as the text has it, and the attributes that the text states. Do not guess, and do not name an entity twice."""
+RELATION_PROMPT = """Find the relations between the entities that are listed. Give each as subject, predicate and object, all as the text has them. Leave out what the text does not state, and entities that are not listed."""
+COMBINED_PROMPT = ENTITY_PROMPT + "\nThen find the relations between them: subject, predicate and object, as the text states them."
+_DEFAULTS = {"entities": ENTITY_PROMPT, "relations": RELATION_PROMPT, "combined": COMBINED_PROMPT}
+
+
+def description(kind: str, own: str | None = None, node_schema: str | None = None, edge_schema: str | None = None) -> str:
+    """What a model is asked to do: the given words or the default ones, and the schema that its answer must keep to."""
+    if kind not in _DEFAULTS:
+        raise ValueError(f"kind must be one of {', '.join(_DEFAULTS)}")
+    out = [(own or "").strip() or _DEFAULTS[kind]]
+    if node_schema and kind != "relations":
+        out.append(f"Entity types:\n{node_schema.strip()}")
+    if edge_schema and kind != "entities":
+        out.append(f"Relation types:\n{edge_schema.strip()}")
+    return "\n\n".join(out)
+
+
 def question(text: Column, ontology: dict, rules: str = RULES) -> Column:
     """A text with its ontology and the rules of the answer."""
     return F.concat(F.lit(template(ontology)[1] + "\n\n" + rules + "\n\nText:\n"), F.coalesce(text, F.lit("")))

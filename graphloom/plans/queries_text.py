@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import ids, text
 from ..operators import align, catalog, chunks, extract
-from ..sources import readers
+from ..sources import readers, remote
 from . import extraction
 from .fixtures import FILES, GRAPHS, TASKS, files, graphs, spread, table, tasks
 from .registry import query
@@ -444,3 +444,40 @@ def decode_cascade(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey * 700 < 1024 THEN (l_partkey * 700) || ' B' WHEN l_partkey * 700 < 1048576 THEN printf('%.1f KB', l_partkey * 700 / 1024.0) ELSE printf('%.1f MB', l_partkey * 700 / 1048576.0) END AS size FROM lineitem")
 def file_sizes(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.size_text(F.col("l_partkey") * 700).alias("size"))
+
+
+@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) - 1 AS INTEGER) AS segment, text AS content FROM conversations QUALIFY regexp_matches(coalesce(text, ''), '[^{WS}]')")
+def parsed_segments(spark, sf):
+    c = table(spark, sf, "conversations")
+    parsed = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: F.struct(x["text"].alias("content"))).alias("segments"))
+    return remote.segments(parsed, "conv_id")
+
+
+@query("SELECT count(event_type) AS asked, count(DISTINCT event_type) AS distinct, 1 - count(DISTINCT event_type) / count(event_type) AS hit_rate FROM events")
+def prompt_repeats(spark, sf):
+    return extract.repeat_stats(table(spark, sf, "events").select(F.col("event_type").alias("prompt")))
+
+
+@query("SELECT 2 * count(*) AS entities, count(*) AS relations FROM nation JOIN region ON n_regionkey = r_regionkey")
+def nested_counts(spark, sf):
+    return extract.flattened_counts(_nested(spark, sf), "answer")
+
+
+@query("""WITH s AS (SELECT doc_id, text, CAST(doc_id % 400 AS INTEGER) AS a, CAST(doc_id % 400 + 5 AS INTEGER) AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(substr(text, greatest(0, a - 150) + 1, a - greatest(0, a - 150))) AS before, substr(text, a + 1, 5) AS inside, md5(substr(text, b + 1, 150)) AS after FROM s""")
+def extraction_context(spark, sf):
+    a = (F.col("doc_id") % 400).cast("int")
+    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text", a.alias("a"), (a + 5).alias("b"))
+    return align.shown(d, "text", "a", "b").select("doc_id", F.md5("before").alias("before"), "inside", F.md5("after").alias("after"))
+
+
+NEAR_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT v AS q FROM v WHERE vec_id = (SELECT min(vec_id) FROM v WHERE len(list_filter(v, lambda x: x <> 0)) > 0)),
+s AS (SELECT vec_id, list_cosine_similarity(v, q) AS score FROM v, q WHERE len(v) = len(q)) SELECT vec_id, round(score, 6) AS score FROM s WHERE NOT isnan(score) ORDER BY s.score DESC, vec_id LIMIT 10"""
+
+
+@query(NEAR_SQL)
+def nearest_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter(F.exists("embedding", lambda x: x != 0)).orderBy("vec_id").first()  # one vector
+    found = remote.similar_vectors(e, list(q.embedding), 10, "vec_id", "embedding")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
