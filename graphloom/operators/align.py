@@ -237,8 +237,9 @@ def pages(annotated: DataFrame, colours: dict[str, str]) -> DataFrame:
     def page(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for t, xs in zip(text, found):
-            marks = [(x["char_interval"]["start_pos"], x["char_interval"]["end_pos"], x["extraction_class"], colours.get(x["extraction_class"], "#ffff8d")) for x in (xs if xs is not None else []) if x["char_interval"]]
-            body = highlight(t or "", [m for m in marks if m[0] is not None and m[1] is not None])
+            placed = [x for x in (xs if xs is not None else []) if x["char_interval"] and not pd.isna(x["char_interval"]["start_pos"]) and not pd.isna(x["char_interval"]["end_pos"])]
+            marks = [(int(x["char_interval"]["start_pos"]), int(x["char_interval"]["end_pos"]), x["extraction_class"], colours.get(x["extraction_class"], "#ffff8d")) for x in placed]
+            body = highlight(t or "", marks)
             out.append(f'<div class="legend">{head}</div>\n<pre>{body}</pre>')
         return pd.Series(out)
 

@@ -20,6 +20,8 @@ def archive(**files):
 
 
 def test_conversion_polls_and_unpacks(spark):
+    zipped = archive(full_dot_md="# Title", images__a_dot_png=b"\x89", images__note_dot_md="no")
+
     class Service:
         asked = 0
 
@@ -37,7 +39,7 @@ def test_conversion_polls_and_unpacks(spark):
             return {"data": {"extract_result": [{"file_name": "other", "state": "done"}, {"file_name": name, "state": state, "err_msg": "torn page", "full_zip_url": "" if "lost" in name else "http://z"}]}}
 
         def download(self, url):
-            return archive(full_dot_md="# Title", images__a_dot_png=b"\x89", images__note_dot_md="no")
+            return zipped
 
     text, images = remote.convert(Service(), "a.pdf", b"x", sleep=lambda s: None)
     assert text == "# Title" and images == [("images/a.png", b"\x89")]
