@@ -159,3 +159,58 @@ def test_alike_matches_all_pairs():
                     want[a] = want[b] = min(want[a], want[b])
     assert simhash.alike(sets, 0.8).tolist() == want and len(set(want)) > 30
     assert simhash.alike([], 0.8).tolist() == []
+
+
+def test_large_groups_are_compared_in_parts(spark, make_docs):
+    rng = random.Random(14)
+    word = lambda: f"x{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    copies = []
+    for _ in range(60):  # a chain: each text is a small change of the one before it
+        base = list(base)
+        for _ in range(3):
+            base[rng.randrange(300)] = word()
+        copies.append(" ".join(base))
+    texts = copies + [" ".join(word() for _ in range(300)) for _ in range(20)]
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in root:
+        for a in range(len(texts)):
+            for b in range(a):
+                if _jaccard(sets[a], sets[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = {k for k in range(len(texts)) if root[k] == k}
+    for meet in (20_000, 7):
+        assert {r.doc_id for r in simhash.keep_one(make_docs(texts), meet=meet).collect()} == want
+    words = ["a", "b", "c"]
+    rows = simhash.signatures(make_docs(texts).select("doc_id", "text"), "text", words).drop("text")
+    found = []
+    for most in (200_000, 9):
+        edges = trie.similar(rows, "doc_id", words, p=simhash.differing_share(0.8), miss=0.001, check=3, within=60, group_rows=most)
+        found.append({r.v: r.root for r in trie.components(edges, "t").collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) >= 1
+
+
+def test_tables_follow_the_rows():
+    p = simhash.differing_share(0.8)
+    for n in (2, 1_000, 10**5, 10**7, 10**9):
+        tables, budget, width = trie.tables_for(n, p, 0.001, 384)
+        found = trie._within(p, (budget + 1) * width, budget)
+        assert (1 - found) ** tables <= 0.001 and (budget + 1) * width <= 62
+        assert n / 2**width <= 2e5  # groups do not grow with the corpus
+
+
+def test_crowded_prefixes_are_cut_into_parts(spark):
+    rng = random.Random(15)
+    prints = sorted({rng.getrandbits(10) for _ in range(300)} | {1 << 63 | rng.getrandbits(8) for _ in range(100)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(signed)], "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.groups(df, bits=1, leaf_rows=13).collect()}
+    assert [got[k] for k in range(len(prints))] == brute_groups(list(enumerate(prints)), 1)
+
+
+def test_clashing_columns(spark, make_docs):
+    docs = make_docs(["some words of a text", "some words of a text", "others"]).withColumns({"_row": F.lit(1), "_w0": F.lit("x"), "v": F.lit(2), "root": F.lit(3), "fingerprint": F.lit(4), "component_id": F.lit(5), "_text": F.lit(6)})
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
+    assert simhash.near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
