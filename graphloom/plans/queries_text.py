@@ -378,12 +378,11 @@ def extraction_summary(spark, sf):
 
 
 def wanted_of(text):
-    """Phrases to look for in a chunk: its long words, each with the word after it, the first of them altered, and one that is absent."""
+    """Phrases to look for in a chunk: its very long words, each with the word after it; its first words, the first of them altered; and words that are absent."""
     words = F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
-    pairs = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) > 8) & (i + 1 < F.size(words)), F.concat(w, F.lit(" "), F.get(words, i + 1)))), lambda p: p.isNotNull())
-    pairs = F.array_distinct(pairs)
-    altered = F.when(F.size(words) > 3, F.array(F.concat(F.get(words, F.lit(0)), F.lit("s "), F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3)), F.lit(" "), F.get(words, F.lit(1))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(pairs, altered, F.array(F.lit("absent phrase")))
+    pairs = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) > 12) & (i + 1 < F.size(words)), F.concat(w, F.lit(" "), F.get(words, i + 1)))), lambda p: p.isNotNull())
+    altered = F.when(F.size(words) > 3, F.array(F.concat(F.get(words, F.lit(0)), F.lit("s "), F.get(words, F.lit(1)), F.lit(" "), F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_distinct(pairs), altered, F.array(F.lit("absent phrase")))
 
 
 @query()
