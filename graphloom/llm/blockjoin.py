@@ -127,7 +127,7 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def merged(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): a heap of k for each query, over rows that hold all of a query's pairs in one partition."""
+    """(query_id, rank, vec_id, score): heaps of k for each query, first of the rows of each partition, so that a query with many pairs does not meet in one task, then of what these keep."""
 
     def run(frames):
         heaps: dict[int, list[tuple[float, int]]] = {}
@@ -141,7 +141,8 @@ def merged(scored: DataFrame, k: int) -> DataFrame:
         rows = [(q, r, -i, s) for q, heap in heaps.items() for r, (s, i) in enumerate(sorted(heap, reverse=True), 1)]
         yield pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
 
-    return scored.repartition("query_id").mapInPandas(run, "query_id long, rank int, vec_id long, score double")
+    schema = "query_id long, rank int, vec_id long, score double"
+    return scored.mapInPandas(run, schema).repartition("query_id").mapInPandas(run, schema)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
