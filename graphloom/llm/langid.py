@@ -279,9 +279,10 @@ def sample(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text",
     n = max(1, marks.select("lang").distinct().count())
     share = max(1, min(chars, total_chars // n))
     order = Window.partitionBy("lang").orderBy("mark")
-    parts = Window.partitionBy("lang", F.pmod(F.col("mark"), F.lit(64))).orderBy("mark")  # a language may hold most rows
-    first = marks.withColumn("k", F.row_number().over(parts)).filter(F.col("k") <= docs)
-    first = first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs)
+    first = marks
+    for parts in (512, 64, 8, 1):  # a language may hold most rows, so its smallest marks are found in parts of parts
+        some = Window.partitionBy("lang", F.pmod(F.col("mark"), F.lit(parts))).orderBy("mark")
+        first = first.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= docs)
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     chosen = first.withColumn("room", share - F.coalesce(before, F.lit(0))).filter("room > 0").select("lang", "mark", "room")
     texts = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "mark"])  # at most `docs` rows a language
