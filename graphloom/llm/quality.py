@@ -5,13 +5,13 @@ towards the pooled ratio of their group (short texts say little) and
 transformed to stable variance. Each group of language and source gets a
 minimum-covariance-determinant estimate of centre and scatter: from two
 deterministic starts, concentration steps re-estimate both from the half of
-the rows with the smallest Mahalanobis distances until the determinants stand
-still, the lower determinant wins, and one reweighting step follows. Rows beyond
-the cutoff are rejected.
+the rows with the smallest Mahalanobis distances, the lower determinant wins and
+goes on until it stands still or ``MORE_STEPS`` are done, and one reweighting
+step follows. Rows beyond the cutoff are rejected.
 
 Every group, however small, has an estimate of its own. It leans on the estimate
-of its language as on ``PRIOR`` further rows, and that of a language leans on
-the medians and quartile ranges of all rows; in large groups these rows do not
+of its language (from the robust start alone) as on ``PRIOR`` further rows, and
+that of a language on the medians and quartile ranges of all rows; in large groups these rows do not
 count, and there is no size at which the rule changes. Pooled ratios lean on
 each other in the same way.
 
@@ -27,8 +27,9 @@ at the very cutoff are kept.
 
 from __future__ import annotations
 
-from itertools import count
+import itertools
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -69,8 +70,8 @@ MIDDLE = 7.344
 HALF, NEARLY_ALL = 1.625, 1.041
 #: Rows that a group's prior counts for, and documents' worth of pseudo-counts that a pooled ratio leans on.
 PRIOR = 100
-#: Concentration steps at most for both starts, and then for the better one; they end when no determinant moves by more than STILL (logarithm).
-STEPS, MORE_STEPS, STILL = 4, 6, 1e-4
+#: Concentration steps for all starts, and at most for the better one then; these end when no determinant moves by more than STILL (logarithm).
+STEPS, MORE_STEPS, STILL = 2, 4, 0.01
 _BINS = 8  # per doubling of the squared distance
 
 _mix = np.random.default_rng(8).integers(1, 1 << 63, size=WINDOW, dtype=np.uint64) | np.uint64(1)
@@ -133,26 +134,23 @@ def base_failed() -> F.Column:
 
 def _distance(x: list[str]) -> F.Column:
     """Squared Mahalanobis distance of columns ``x`` by columns ``m`` (centre) and ``w`` (inverse scatter, row by row)."""
-    d = [F.col(c) - F.col("m")[k] for k, c in enumerate(x)]
-    total = F.lit(0.0)
-    for i in range(P):
-        total = total + F.col("w")[i * P + i] * d[i] * d[i]
-        for j in range(i):
-            total = total + 2.0 * F.col("w")[i * P + j] * d[i] * d[j]
-    return F.greatest(total, F.lit(0.0))
+    d = [f"({c} - m[{k}])" for k, c in enumerate(x)]
+    terms = [f"w[{i * P + j}] * {d[i]} * {d[j]}" + " * 2D" * (i != j) for i in range(P) for j in range(i + 1)]
+    return F.expr(f"greatest({' + '.join(terms)}, 0D)")
 
 
 _FLOORS = np.diag([f * f for *_, f in STATS.values()])
-_PARAMS = "gid string, start int, m array<double>, c array<double>, w array<double>, logdet double"
+_PARAMS = "gid string, start int, m array<double>, c array<double>, w array<double>, logdet double, moved double"
 
 
-def _row(gid, start, n, s, ss, m0, c0, shrink=1.0):
+def _row(gid, start, n, s, ss, m0, c0, shrink=1.0, old=np.inf):
     """Centre, scatter (without floors), inverse scatter and determinant of ``n`` rows with sums ``s`` and ``ss`` and of the prior's rows."""
     total = n + PRIOR
     m = (s + PRIOR * m0) / total
     c = (ss + PRIOR * (c0 / shrink + np.outer(m0, m0))) / total - np.outer(m, m)
     full = c + _FLOORS
-    return {"gid": gid, "start": start, "m": list(m), "c": list(c.ravel()), "w": list(np.linalg.inv(full).ravel()), "logdet": float(np.linalg.slogdet(full)[1])}
+    logdet = float(np.linalg.slogdet(full)[1])
+    return {"gid": gid, "start": start, "m": list(m), "c": list(c.ravel()), "w": list(np.linalg.inv(full).ravel()), "logdet": logdet, "moved": abs(logdet - old)}
 
 
 def _unpack(f: pd.DataFrame):
@@ -177,23 +175,41 @@ def _step(rows: DataFrame, params: DataFrame, prior: DataFrame, keep_half: bool)
     x = list(STATS)
     bin_ = F.when(F.col("d2") < 1e-6, -160).otherwise(F.floor(F.log2("d2") * _BINS)).cast("int").alias("bin")
     near = rows.join(params.select("gid", "start", "m", "w"), "gid").withColumn("d2", _distance(x)).select("gid", "start", bin_, *x)
-    summed = near.groupBy("gid", "start", "bin").agg(*_moments(x)).join(prior, "gid")
+    told = params.select("gid", "start", F.col("logdet").alias("old")).join(prior, "gid")
+    summed = near.groupBy("gid", "start", "bin").agg(*_moments(x)).join(told, ["gid", "start"])
 
-    def estimate(key, f):
-        f = f.sort_values("bin")
-        n, s, ss = _unpack(f)
-        below = np.cumsum(n)
+    def estimate(f, n, s, ss):
+        bins, below = f["bin"].to_numpy(), np.cumsum(n)
         half = -(-(n.sum() + P + 1) // 2)
         at = int(np.searchsorted(below, half)) if keep_half else int(np.searchsorted(below, 0.5 * n.sum()))
         if not keep_half:  # distances are scaled so that their median is that of chi-squared, then the central rows are kept
-            middle = 2.0 ** ((f["bin"].to_numpy()[at] + 0.5) / _BINS)
+            middle = 2.0 ** ((bins[at] + 0.5) / _BINS)
             middle = (n.sum() * middle + PRIOR * MIDDLE) / (n.sum() + PRIOR)
             edge = np.log2(KEEP * max(middle, 1e-6) / MIDDLE) * _BINS
-            at = max(0, int(np.searchsorted(f["bin"].to_numpy(), edge)) - 1)
+            at = max(0, int(np.searchsorted(bins, edge)) - 1)
         k = min(at, len(n) - 1) + 1
-        return pd.DataFrame([_row(key[0], int(key[1]), n[:k].sum(), s[:k].sum(axis=0), ss[:k].sum(axis=0), *_prior(f), HALF if keep_half else NEARLY_ALL)])
+        return _row(f["gid"].iloc[0], int(f["start"].iloc[0]), n[:k].sum(), s[:k].sum(axis=0), ss[:k].sum(axis=0), *_prior(f), HALF if keep_half else NEARLY_ALL, f["old"].iloc[0])
 
-    return summed.groupBy("gid", "start").applyInPandas(estimate, _PARAMS)
+    def edges(f):
+        return np.nonzero(((f["gid"] != f["gid"].shift()) | (f["start"] != f["start"].shift())).to_numpy())[0]
+
+    def run(frames):
+        """Groups come one after the other, each in the order of its bins; the last one of a batch may go on in the next."""
+        rest = None
+        for f in itertools.chain(frames, [None]):
+            whole, rest = rest if f is None else f if rest is None else pd.concat([rest, f], ignore_index=True), None
+            if whole is None or whole.empty:
+                continue
+            cut = edges(whole)
+            if f is not None:
+                rest, whole, cut = whole.iloc[cut[-1] :], whole.iloc[: cut[-1]], cut[:-1]
+            if len(cut):
+                n, s, ss = _unpack(whole)
+                parts = [slice(i, j) for i, j in zip(cut, [*cut[1:], len(whole)])]
+                yield pd.DataFrame([estimate(whole.iloc[p], n[p], s[p], ss[p]) for p in parts])
+
+    # by an expression of its own, so that this shuffle stays: without it a skewed join might hand one group to several tasks
+    return summed.repartition(F.xxhash64("gid", "start")).sortWithinPartitions("gid", "start", "bin").mapInPandas(run, _PARAMS)
 
 
 def _quartiles(x: list[str]):
@@ -205,7 +221,7 @@ def _spread(f: pd.DataFrame, k: int):
     return r[:, 1], np.diag(((r[:, 2] - r[:, 0]) / 1.349) ** 2)
 
 
-def _starts(rows: DataFrame, prior: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, prior: DataFrame, both_starts: bool) -> DataFrame:
     """Start 0: medians and quartile ranges. Start 1: mean and covariance of all rows."""
     x = list(STATS)
     both = rows.groupBy("gid").agg(*_moments(x), *_quartiles(x)).join(prior, "gid")
@@ -217,7 +233,8 @@ def _starts(rows: DataFrame, prior: DataFrame) -> DataFrame:
             for k in range(len(f)):
                 m, c = _spread(f, k)
                 out.append(_row(f["gid"].iloc[k], 0, n[k], n[k] * m, n[k] * (c + np.outer(m, m)), *_prior(f, k)))
-                out.append(_row(f["gid"].iloc[k], 1, n[k], s[k], ss[k], *_prior(f, k)))
+                if both_starts:
+                    out.append(_row(f["gid"].iloc[k], 1, n[k], s[k], ss[k], *_prior(f, k)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARAMS.split(", ")])
 
     return both.mapInPandas(run, _PARAMS)
@@ -245,22 +262,25 @@ def statistics(counted: DataFrame, lang: str = "lang", source: str = "source", i
     return rows.select(*ids, "lid", "gid", *out)
 
 
-def _settled(rows: DataFrame, params: DataFrame, prior: DataFrame, most: int) -> DataFrame:
-    """``params`` after concentration steps until no determinant moves, ``most`` at most."""
-    for _ in range(most):
-        new = materialise(_step(rows, params, prior, True), "mcd-step")
-        moved = new.join(params.select("gid", "start", F.col("logdet").alias("_old")), ["gid", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_old"))).alias("d")).first().d
-        params = new
+def _settled(rows: DataFrame, params: DataFrame, prior: DataFrame) -> DataFrame:
+    """``params`` after concentration steps until no determinant moves, ``MORE_STEPS`` at most."""
+    for _ in range(MORE_STEPS):
+        params = materialise(_step(rows, params, prior, True), "mcd-step")
+        moved = params.agg(F.max("moved").alias("d")).first().d
         if moved is None or moved < STILL:
             break
     return params
 
 
-def estimates(rows: DataFrame, prior: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, prior: DataFrame, *, both_starts: bool = True) -> DataFrame:
     """(gid, m, c, w, scale) of each group: reweighted centre, scatter, inverse scatter, and the factor that brings its median squared distance to chi-squared's. ``prior``: (gid, m0, c0)."""
-    params = _settled(rows, materialise(_starts(rows, prior), "mcd-start"), prior, STEPS)
-    best = params.groupBy("gid").agg(F.min_by(F.struct("start", "m", "c", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select("gid", "b.*")
-    best = _settled(rows, materialise(best, "mcd-best"), prior, MORE_STEPS)
+    params = materialise(_starts(rows, prior, both_starts), "mcd-start")
+    for _ in range(STEPS):
+        params = materialise(_step(rows, params, prior, True), "mcd-step")
+    best = params
+    if both_starts:
+        best = params.groupBy("gid").agg(F.min_by(F.struct("start", "m", "c", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select("gid", "b.*")
+        best = _settled(rows, materialise(best, "mcd-best"), prior)
     best = materialise(_step(rows, best, prior, False), "mcd-reweighted")
     near = rows.join(best.select("gid", "m", "w"), "gid").groupBy("gid").agg(F.percentile_approx(_distance(list(STATS)), 0.5, 1000).alias("mid"), F.count("*").alias("n"))
     mid = (F.col("n") * F.col("mid") + PRIOR * MIDDLE) / (F.col("n") + PRIOR)
@@ -275,7 +295,7 @@ def fitted(rows: DataFrame) -> DataFrame:
     m, c = _spread(whole, 0) if len(whole) else (np.zeros(P), np.zeros((P, P)))
     langs = rows.select(F.col("lid").alias("gid"), *x)
     start = langs.select("gid").distinct().select("gid", F.array(*map(F.lit, m.tolist())).alias("m0"), F.array(*map(F.lit, c.ravel().tolist())).alias("c0"))
-    of_lang = estimates(langs, materialise(start, "mcd-prior"))
+    of_lang = estimates(langs, materialise(start, "mcd-prior"), both_starts=False)
     told = of_lang.select(F.col("gid").alias("lid"), F.col("m").alias("m0"), F.transform("c", lambda v: v / F.col("scale")).alias("c0"))
     prior = rows.select("lid", "gid").distinct().join(told, "lid").select("gid", "m0", "c0")
     return estimates(rows.select("gid", *x), materialise(prior, "mcd-prior"))

@@ -98,20 +98,11 @@ def _plain(counts, langs, sources):
 
     det = lambda c: np.linalg.slogdet(c + quality._FLOORS)[1]
 
-    def settle(rows, found, m0, c0, most):
-        for _ in range(most):
-            new = [half(rows, m, c, m0, c0) for m, c in found]
-            still = max(abs(det(n[1]) - det(o[1])) for n, o in zip(new, found)) < quality.STILL
-            found = new
-            if still:
-                break
-        return found, still
-
     def spread(rows):
         r = np.array([[lower(v, q) for q in (0.25, 0.5, 0.75)] for v in rows.T])
         return r[:, 1], np.diag(((r[:, 2] - r[:, 0]) / 1.349) ** 2)
 
-    def fit(parts, priors):
+    def fit(parts, priors, both=True):
         """All groups step together, as long as one of them moves."""
         found = {}
         for g, rows in parts.items():
@@ -120,15 +111,16 @@ def _plain(counts, langs, sources):
             n = len(rows)
             s, ss = n * m + quality.PRIOR * m0, n * (c + np.outer(m, m)) + quality.PRIOR * (c0 + np.outer(m0, m0))
             first = s / (n + quality.PRIOR)
-            found[g] = [(first, ss / (n + quality.PRIOR) - np.outer(first, first)), blend(rows, m0, c0)]
-        for most, keep in ((quality.STEPS, False), (quality.MORE_STEPS, True)):
-            if keep:
-                found = {g: [min(f, key=lambda e: det(e[1]))] for g, f in found.items()}
-            for _ in range(most):
-                done = {g: settle(parts[g], f, *priors[g], 1) for g, f in found.items()}
-                found = {g: d[0] for g, d in done.items()}
-                if all(d[1] for d in done.values()):
-                    break
+            found[g] = [(first, ss / (n + quality.PRIOR) - np.outer(first, first))] + [blend(rows, m0, c0)] * both
+        for _ in range(quality.STEPS):
+            found = {g: [half(parts[g], m, c, *priors[g]) for m, c in f] for g, f in found.items()}
+        found = {g: [min(f, key=lambda e: det(e[1]))] for g, f in found.items()}
+        for _ in range(quality.MORE_STEPS * both):
+            new = {g: [half(parts[g], *f[0], *priors[g])] for g, f in found.items()}
+            still = all(abs(det(new[g][0][1]) - det(f[0][1])) < quality.STILL for g, f in found.items())
+            found = new
+            if still:
+                break
         out = {}
         for g, ((m, c),) in found.items():
             rows, n = parts[g], len(parts[g])
@@ -143,7 +135,7 @@ def _plain(counts, langs, sources):
             out[g] = m, c, min(1.0, quality.MIDDLE / max(mid, 1e-6))
         return out
 
-    langs_fit = fit({g: x[r] for g, r in of_lang.items()}, dict.fromkeys(of_lang, spread(x)))
+    langs_fit = fit({g: x[r] for g, r in of_lang.items()}, dict.fromkeys(of_lang, spread(x)), False)
     fits = fit({g: x[r] for g, r in groups.items()}, {g: (langs_fit[g[0]][0], langs_fit[g[0]][1] / langs_fit[g[0]][2]) for g in groups})
     return [float(d2(x[k : k + 1], *fits[langs[k], sources[k]][:2])[0] * fits[langs[k], sources[k]][2]) for k in all_]
 
