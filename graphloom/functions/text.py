@@ -33,6 +33,12 @@ def token_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def tokens_after_newline(text: Column) -> Column:
+    """Tokens with a line break in the white space before them, the first not counted. Every gap between tokens that holds a break matches once, from the first break on, so no token is built."""
+    within = F.regexp_extract(text, r"(?Us)\A\s*+(.*\S)", 1)
+    return F.regexp_count(within, F.lit(r"(?U)[\n\r]\s*+")).cast("long")
+
+
 def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 

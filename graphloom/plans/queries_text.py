@@ -133,8 +133,8 @@ def token_types(spark, sf):
 
 @query(f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]*[\\n\\r][{WS}]*')) AS n_after_newline FROM documents")
 def token_newline_flags(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", chunks.token_spans("text").alias("t"))
-    return d.select("doc_id", F.size(F.filter("t", lambda x: x["nl"])).cast("long").alias("n_after_newline"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", text.tokens_after_newline(F.col("text")).alias("n_after_newline"))
 
 
 @query(f"""SELECT doc_id, length(text) AS n_chars, len(list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda w: w <> '')) AS n_words, len(string_split(text, chr(10))) AS n_lines,
