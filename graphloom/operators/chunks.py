@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,33 +18,35 @@ from pyspark.sql import types as T
 from ..functions.text import ABBREVIATIONS, strip
 from ..session import materialise
 
-_token = re.compile(r"[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+|[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+")
+#: By kind. Only a whole run of letters and digits can begin an acronym, so that no run is read again for each of its tokens.
+_token = re.compile(r"(?:(?<![A-Za-z0-9])([A-Za-z0-9]++(?:/[A-Za-z0-9]++)+))|([A-Za-z]+)|([0-9]+)|([^A-Za-z0-9\s]+)")
+_KINDS = (None, "ACRONYM", "WORD", "NUMBER", "PUNCTUATION")
 SPANS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("idx", T.IntegerType()), ("type", T.StringType()), ("token", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("nl", T.BooleanType()))]))
 MAX_CHARS = 1_000
 PARAGRAPH_CHARS = 5_000
 OVERLAP = 500
 
 
-def _kind(t: str) -> str:
-    if t.isascii() and t.isdigit():
-        return "NUMBER"
-    if not (t[0].isascii() and t[0].isalnum()):
-        return "PUNCTUATION"
-    return "ACRONYM" if "/" in t else "WORD"
-
-
 def spans(text: str | None) -> list[tuple[int, str, str, int, int, bool]]:
     out, before = [], 0
-    for k, m in enumerate(_token.finditer(text or "")):
-        gap = text[before : m.start()]
-        out.append((k, _kind(m.group()), m.group(), m.start(), m.end(), k > 0 and ("\n" in gap or "\r" in gap)))
-        before = m.end()
+    text = text or ""
+    for k, m in enumerate(_token.finditer(text)):
+        a, b = m.span()
+        gap = a - before
+        nl = gap > 0 < k and (text[before] in "\n\r" if gap == 1 else "\n" in (g := text[before:a]) or "\r" in g)
+        out.append((k, _KINDS[m.lastindex], m[0], a, b, nl))
+        before = b
     return out
 
 
+def places(text: str | None) -> list[tuple[int, int]]:
+    """Where tokens begin and end."""
+    return [m.span() for m in _token.finditer(text or "")]
+
+
 def words(text: str | None) -> list[str]:
     """The tokens alone."""
-    return _token.findall(text or "")
+    return [m[0] for m in _token.finditer(text or "")]
 
 
 @F.pandas_udf(SPANS)
@@ -86,7 +89,7 @@ def sentence_ends(text: str, toks) -> list[int]:
     out = []
     for k, (_, kind, t, _, end, _) in enumerate(toks):
         stop = kind == "PUNCTUATION" and t[-1] in ".?!" and (toks[k - 1][2] if k else "") + t not in ABBREVIATIONS
-        if not stop and k + 1 < len(toks):
+        if not stop and k + 1 < len(toks) and toks[k + 1][5]:
             stop = "\n" in text[end : toks[k + 1][3]] and toks[k + 1][2][0].isupper()
         if stop:
             out.append(k + 1)
@@ -95,9 +98,9 @@ def sentence_ends(text: str, toks) -> list[int]:
     return out
 
 
-def sentence_chunks_of(text: str | None, most: int) -> list[tuple[int, int]]:
-    """Token ranges of chunks of at most ``most`` characters: whole sentences while they fit; a sentence that does not is cut at its last line start, else at a token; what is left of it stands alone."""
-    toks = spans(text)
+def sentence_chunks_of(text: str | None, most: int, toks: list | None = None) -> list[tuple[int, int]]:
+    """Token ranges of chunks of at most ``most`` characters: whole sentences while they fit; a sentence that does not is cut at its last line start, else at a token; what is left of it stands alone. ``toks``: the text's spans, if they are known."""
+    toks = spans(text) if toks is None else toks
     ends = sentence_ends(text or "", toks)
     width = lambda a, b: toks[b - 1][4] - toks[a][3]
     out, at, cut, s = [], 0, False, 0
@@ -109,19 +112,19 @@ def sentence_chunks_of(text: str | None, most: int) -> list[tuple[int, int]]:
             out.append((at, at + 1))
             cut, at = at + 1 < stop, at + 1
             continue
-        line, here = 0, at + 1
-        fits = True
-        for k in range(at, stop):
-            if toks[k][5]:
-                line = k
-            if width(at, k + 1) > most:
-                here, fits = (line if line > at else here), False
-                break
-            here = k + 1
-        if not fits:
+        if width(at, stop) > most:
+            line, here = 0, at + 1
+            for k in range(at, stop):
+                if toks[k][5]:
+                    line = k
+                if width(at, k + 1) > most:
+                    here = line if line > at else here
+                    break
+                here = k + 1
             out.append((at, here))
             at, cut = here, True
             continue
+        here = stop
         if not cut:
             j = s + 1
             while j < len(ends) and width(at, ends[j]) <= most:
@@ -133,21 +136,22 @@ def sentence_chunks_of(text: str | None, most: int) -> list[tuple[int, int]]:
 
 
 _CHUNKS = "array<struct<chunk_id:int,tok_start:int,tok_end:int,char_start:int,char_end:int,text:string>>"
+_CHUNKS_OUT = pa.list_(pa.struct([*((c, pa.int32()) for c in ("chunk_id", "tok_start", "tok_end", "char_start", "char_end")), ("text", pa.string())]))
 
 
 def sentence_chunks(docs: DataFrame, text_col: str = "text", most: int = MAX_CHARS) -> DataFrame:
     """A row a chunk: every column of the document but its text, then chunk_id, token and character ranges, text."""
 
-    @F.pandas_udf(_CHUNKS)
-    def cut(text: pd.Series) -> pd.Series:
+    @F.arrow_udf(_CHUNKS)
+    def cut(text: pa.Array) -> pa.Array:
         out = []
-        for x in text:
+        for x in text.to_pylist():
             toks = spans(x)
             rows = []
-            for k, (a, b) in enumerate(sentence_chunks_of(x, most)):
+            for k, (a, b) in enumerate(sentence_chunks_of(x, most, toks)):
                 rows.append({"chunk_id": k, "tok_start": a, "tok_end": b, "char_start": toks[a][3], "char_end": toks[b - 1][4], "text": x[toks[a][3] : toks[b - 1][4]]})
             out.append(rows)
-        return pd.Series(out)
+        return pa.array(out, _CHUNKS_OUT)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(*rest, F.explode(cut(F.col(text_col))).alias("_c")).select(*rest, "_c.*")

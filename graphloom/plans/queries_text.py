@@ -377,9 +377,8 @@ def extraction_summary(spark, sf):
     return extract.unnest(built_answers(spark, sf), "answer", ["doc"]).groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"))
 
 
-def wanted_of(text):
-    """Phrases to look for in a chunk: its very long words, each with the word after it; its first words, the first of them altered; and words that are absent."""
-    words = F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
+def wanted_of(words):
+    """Phrases to look for in a chunk of ``words``: its very long words, each with the word after it; its first words, the first of them altered; and words that are absent."""
     pairs = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) > 12) & (i + 1 < F.size(words)), F.concat(w, F.lit(" "), F.get(words, i + 1)))), lambda p: p.isNotNull())
     altered = F.when(F.size(words) > 3, F.array(F.concat(F.get(words, F.lit(0)), F.lit("s "), F.get(words, F.lit(1)), F.lit(" "), F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3))))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.array_distinct(pairs), altered, F.array(F.lit("absent phrase")))
@@ -388,7 +387,8 @@ def wanted_of(text):
 @query()
 def align_extractions(spark, sf):
     d = spread(table(spark, sf, "documents").filter("doc_id is not null").select("doc_id", "text"))
-    c = chunks.sentence_chunks(d, "text", 1000).withColumn("wanted", wanted_of(F.col("text")))
+    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")  # a column of its own, or every use would split the text again
+    c = chunks.sentence_chunks(d, "text", 1000).withColumn("_words", words).withColumn("wanted", wanted_of(F.col("_words")))
     a = align.align(c, "text", "wanted", tok_offset="tok_start", char_offset="char_start").select("doc_id", "chunk_id", F.explode("aligned").alias("a"))
     return a.select("doc_id", "chunk_id", "a.ord", "a.status", "a.char_start", "a.char_end")
 

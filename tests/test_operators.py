@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -196,6 +197,25 @@ def test_alignment_equals_the_slow_rule():
     assert seen == {None, "match_exact", "match_lesser", "match_fuzzy"}
 
 
+def test_alignment_of_repeated_texts():
+    """Against the slow rule where texts and phrases repeat, so that windows beyond the phrase's length win; and in time on a chunk of one repeated word and on a run of letters and digits."""
+    rng = random.Random(14)
+    wide = 0
+    for k in range(150):
+        unit = [rng.choice("abcd") for _ in range(rng.randint(1, 4))]
+        toks, want = unit * rng.randint(1, 5), unit * rng.randint(1, 3)
+        for x in (toks, want, want):
+            x[rng.randrange(len(x))] = rng.choice(["x", "y", "a"])
+        got = align.align_texts(" ".join(toks), [" ".join(want), "a absent"])
+        assert got == slow_alignment(" ".join(toks), [" ".join(want), "a absent"]), (toks, want)
+        wide += sum(s == "match_fuzzy" and b - a > n for (s, a, b), n in zip(got, (len(want), 2)))
+    assert wide
+    began = time.process_time()
+    assert align.align_texts("Èrépa " * 166, ["Èrépas Èrépa Èrépa Èrépa", "absent phrase"]) == [("match_fuzzy", 1, 17), (None, 0, 0)]
+    assert len(chunks.spans("a1" * 100_000)) == 200_000
+    assert time.process_time() - began < 5  # 70 s and more before
+
+
 def test_passes(spark):
     data = [("d", 0, 0, 0, 5), ("d", 0, 1, 3, 8), ("d", 1, 0, 4, 6), ("d", 1, 1, 8, 9), ("d", 1, 2, 8, 12), ("d", 1, 3, None, None)]
     df = spark.createDataFrame(data, "doc string, pass int, ord int, s int, e int")
